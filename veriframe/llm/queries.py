@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import chat_format, mixing, url_filter
+from veriframe.llm import chat_format, mixing, quality, url_filter
 from veriframe.llm.common import table
 
 URL_RULES = [
@@ -40,6 +40,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 #: The conversation that holds the template's own marks.
 MARKED = "<|im_end|><|im_start|>assistant ok"
 
@@ -95,7 +99,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op4_chat_format, op8_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op3_quality, op4_chat_format, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
