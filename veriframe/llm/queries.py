@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import chat_format, mixing, quality, url_filter
+from veriframe.llm import chat_format, line_dedup, mixing, quality, url_filter
 from veriframe.llm.common import table
 
 URL_RULES = [
@@ -71,6 +71,41 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.read_back(chat_format.render(messages)))
 
 
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT DISTINCT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (
+  SELECT doc_id, text, lines, i, len(list_filter(regexp_split_to_array(lines[i], '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words
+  FROM docs, unnest(range(1, len(lines) + 1)) AS t(i)),
+c AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id, text ORDER BY i) AS after_, sum(words) OVER (PARTITION BY doc_id, text ORDER BY i) - words AS before_ FROM l),
+w AS (
+  SELECT *, max(i) OVER a AS to_, max(after_) OVER a - before_ AS to_words, min(i) OVER b AS from_, after_ - min(before_) OVER b AS from_words
+  FROM c
+  WINDOW a AS (PARTITION BY doc_id, text ORDER BY before_ RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+         b AS (PARTITION BY doc_id, text ORDER BY after_ RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+runs AS (
+  SELECT doc_id, text, i AS a, to_ AS b, lines FROM w WHERE to_words >= 50
+  UNION SELECT doc_id, text, from_, i, lines FROM w WHERE from_words >= 50),
+ranked AS (
+  SELECT doc_id, text, a, b, row_number() OVER (PARTITION BY array_to_string(lines[a:b], chr(10)) ORDER BY doc_id, a) AS n FROM runs),
+gone AS (SELECT DISTINCT doc_id, text, unnest(range(a, b + 1)) AS i FROM ranked WHERE n > 1),
+per AS (SELECT doc_id, text, list(i) AS gone FROM gone GROUP BY doc_id, text),
+new AS (
+  SELECT d.doc_id, d.text AS old, d.lang, d.source, d.n_chars, p.gone,
+         CASE WHEN p.gone IS NULL THEN d.text
+              ELSE array_to_string([x for x, j in string_split(d.text, chr(10)) if NOT list_contains(p.gone, j)], chr(10)) END AS text
+  FROM documents d LEFT JOIN per p ON p.doc_id IS NOT DISTINCT FROM d.doc_id AND p.text = coalesce(d.text, ''))
+SELECT doc_id, text, lang, source, CASE WHEN gone IS NULL THEN n_chars ELSE length(text) END AS n_chars,
+       coalesce(len(gone), 0)::INT AS deleted_lines, gone IS NOT NULL AND NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS emptied
+FROM new
+"""
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH RECURSIVE sizes AS (
   SELECT source, sum(coalesce(n_chars, 0))::DOUBLE AS size FROM documents GROUP BY source),
@@ -99,8 +134,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_quality, op4_chat_format, op8_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op3_quality, op4_chat_format, op5_line_dedup, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_mixing": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_line_dedup": OP5_SQL, "op8_mixing": OP8_SQL}
