@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import chat_format, line_dedup, mixing, quality, url_filter
+from veriframe.llm import chat_format, line_dedup, mixing, near_dedup, quality, url_filter
 from veriframe.llm.common import table
 
 URL_RULES = [
@@ -106,6 +106,30 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM words, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
+FROM documents d JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(table(spark, sf_dir, "documents"), percent=85).drop("digest")
+
+
 OP8_SQL = """
 WITH RECURSIVE sizes AS (
   SELECT source, sum(coalesce(n_chars, 0))::DOUBLE AS size FROM documents GROUP BY source),
@@ -134,8 +158,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_quality, op4_chat_format, op5_line_dedup, op8_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_line_dedup": OP5_SQL, "op8_mixing": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_near_dedup": OP6_SQL, "op8_mixing": OP8_SQL}
