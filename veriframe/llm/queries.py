@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import chat_format, line_dedup, mixing, near_dedup, quality, url_filter
+from veriframe.llm import chat_format, line_dedup, mixing, near_dedup, packing, quality, url_filter
 from veriframe.llm.common import table
 
 URL_RULES = [
@@ -40,6 +40,17 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer that the queries pack with; the file comes with the machine, not with this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -158,7 +169,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op8_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
