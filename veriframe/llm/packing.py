@@ -26,8 +26,9 @@ from veriframe.llm.common import cut, partitions
 LENGTH, END_ID = 2048, 1
 #: Lengths are rounded up to a multiple of this for the linear program.
 STEP = 8
-#: The program ends when no pattern is worth more than this many sequences: it is then within that factor of its optimum.
-WORTH = 1.001
+#: The program ends when its value is within this factor of a lower bound: the tokens over the sequence's length, or the
+#: value over what the best pattern is worth.
+CLOSE = 1.001
 #: Words that a task keeps the ids of.
 CACHED_WORDS = 400_000
 
@@ -136,18 +137,20 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[
     """Patterns and how often each is used in the optimum of the linear program, by column generation.
 
     The basis starts with one pattern for each size (as many as fit). Each round prices all patterns at once by a
-    knapsack over the dual values and brings the best into the basis, until none is worth more than WORTH sequences.
+    knapsack over the dual values and brings the best into the basis, until the value is CLOSE to a lower bound.
     """
     m = len(sizes)
     fit = capacity // sizes
     patterns = [np.eye(1, m, i, dtype=np.int64)[0] * fit[i] for i in range(m)]
-    inverse, x = np.diag(1.0 / fit), demand / fit
+    inverse, x, bound = np.diag(1.0 / fit), demand / fit, float(sizes @ demand) / capacity
     for rounds in range(40 * m + 100):
         duals = inverse.sum(axis=0)
         value, column = _knapsack(duals, sizes, capacity)
-        if value <= WORTH:
+        bound = max(bound, x.sum() / value)
+        if value <= 1 + 1e-7 or x.sum() <= CLOSE * bound:
             break
-        d = inverse @ column
+        used = np.flatnonzero(column)
+        d = (inverse[:, used] * column[used]).sum(axis=1)
         rising = d > 1e-9
         if not rising.any():
             break
