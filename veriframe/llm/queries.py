@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import chat_format, line_dedup, mixing, near_dedup, packing, quality, url_filter
+from veriframe.llm import chat_format, language_id, line_dedup, mixing, near_dedup, packing, quality, url_filter
 from veriframe.llm.common import table
 
 URL_RULES = [
@@ -168,8 +168,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), size_col="n_chars")
 
 
+def held_out() -> Column:
+    """Whether a document is kept from training: crc32 of its id as text, modulo 4, is 2 (a null id counts as empty)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~held_out()))
+    return language_id.predict(docs.select("doc_id", "text", held_out().alias("held_out")), model, keep_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op8_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op8_mixing, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
