@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import chat_format, language_id, line_dedup, mixing, near_dedup, packing, quality, url_filter
+from veriframe.llm import chat_format, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, url_filter
 from veriframe.llm.common import table
 
 URL_RULES = [
@@ -179,8 +179,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text", held_out().alias("held_out")), model, keep_text=False)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op8_mixing, op9_language_id)}
+    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op8_mixing, op9_language_id, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
