@@ -2,8 +2,9 @@
 
 Copies with the same set of shingles are one class from the start. Signatures of classes are cut into bands; classes that
 share a band's values meet in a bucket. A bucket first proposes its smallest class to all others, which links large groups
-of near copies with as many pairs as members; the links are confirmed on the full sets and the groups joined. Then every
-pair of a bucket whose groups are still apart is confirmed or refuted too, so no link between different texts of one
+of near copies with as many pairs as members; the links are confirmed on the full sets and the groups joined. Where much of a
+bucket stays apart, its members are proposed to other drawn members, round by round, again one pair a member. Then every
+pair of a bucket whose groups are apart even so is confirmed or refuted too, so no link between different texts of one
 bucket is lost however large the bucket. Groups grow by repeated exchange of smallest members (large star, small star).
 """
 
@@ -24,6 +25,8 @@ SHINGLE = 5
 SLOTS = 127
 #: Chance, at most, that two texts just at the threshold share no bucket.
 MISS = 1e-6
+#: Rounds, at most, in which groups of one bucket are proposed to a drawn member before all their pairs are.
+ROUNDS = 12
 #: Bytes of text that are shingled at once.
 BLOCK = 4 << 20
 
@@ -181,6 +184,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(F.col("i") * 100 >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
+def _apart(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, int]:
+    """The members of buckets that hold several components, with these, and how many pairs of a bucket are apart."""
+    place = members.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    counts = place.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    open_keys = counts.filter("own < all * all").select("key", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"))
+    place = cut(place.join(open_keys, "key"))
+    total = place.groupBy("key").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0]
+    return place, int(total or 0)
+
+
 def group(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept, digest for each row of docs.
 
@@ -208,13 +221,24 @@ def group(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
     links = cut(confirmed(first, sets, percent))
     joined = components(links)
 
-    # Pairs of one bucket that are still apart: each is confirmed or refuted.
-    place = members.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    open_keys = place.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    apart = cut(place.join(open_keys, "key"))
-    other = apart.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    # Members of one bucket that are still apart are proposed to another member, drawn anew for each bucket and round,
+    # while that leaves far fewer pairs than there were.
+    place, apart = _apart(members, joined)
+    before = None
+    for turn in range(ROUNDS):
+        if apart * 8 <= members.count() or (before is not None and apart > 0.8 * before):
+            break
+        before = apart
+        drawn = place.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("a"), F.col("component").alias("to"))).alias("l"))
+        proposed = place.join(drawn, "key").filter(F.col("component") != F.col("l.to")).select(F.least("id", "l.a").alias("a"), F.greatest("id", "l.a").alias("b")).distinct()
+        links = cut(links.unionByName(confirmed(cut(proposed), sets, percent)))
+        joined = components(links)
+        place, apart = _apart(members, joined)
+
+    # Every pair of a bucket that is apart even now is confirmed or refuted.
+    other = place.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
     near_size = (F.least("n", "m") * 100 >= percent * F.greatest("n", "m")) & (F.col("component") != F.col("other")) & (F.col("id") < F.col("b"))
-    second = apart.join(other, "key").filter(near_size).select(F.col("id").alias("a"), "b").distinct()
+    second = place.join(other, "key").filter(near_size).select(F.col("id").alias("a"), "b").distinct()
     second = second.join(first, ["a", "b"], "left_anti")
     joined = components(links.unionByName(confirmed(second, sets, percent)).unionByName(copies))
 
