@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and continue from there, with the lineage cut.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, from the session's spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a local one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder and continue from there, with the lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

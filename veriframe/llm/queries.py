@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import chat_format, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, url_filter
+from veriframe.llm import chat_format, html_extract, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, url_filter
 from veriframe.llm.common import table
 
 URL_RULES = [
@@ -141,6 +141,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(table(spark, sf_dir, "documents"), percent=85).drop("digest")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 OP8_SQL = """
 WITH RECURSIVE sizes AS (
   SELECT source, sum(coalesce(n_chars, 0))::DOUBLE AS size FROM documents GROUP BY source),
@@ -185,7 +189,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op8_mixing, op9_language_id, op10_neighbours)}
+    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op7_html_extract, op8_mixing, op9_language_id, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
