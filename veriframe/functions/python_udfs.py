@@ -1,0 +1,102 @@
+"""The few text functions that columns cannot express, as vectorised Python functions."""
+
+from __future__ import annotations
+
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def osa(a: str, b: str, limit: int = 3) -> int:
+    """Edits (insert, delete, replace, swap of neighbours, none inside another) from a to b, or limit + 1 if more."""
+    if abs(len(a) - len(b)) > limit:
+        return limit + 1
+    two: list[int] = []
+    one = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            cost = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                cost = min(cost, two[j - 2] + 1)
+            row.append(cost)
+        if min(row) > limit:
+            return limit + 1
+        two, one = one, row
+    return min(one[-1], limit + 1)
+
+
+@F.pandas_udf(T.IntegerType())
+def osa_distance(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else osa(a, b) for a, b in zip(left, right, strict=True)], dtype="Int32")
+
+
+def repeats(text: str) -> bool:
+    """Whether a text ends in a loop: a token twelve times among the last 120, its last chunk six times, or a window of 30."""
+    tokens = text.split()[-120:]
+    if any(len(t) >= 4 and tokens.count(t) >= 12 for t in set(tokens)):
+        return True
+    for size in (8, 16, 32):
+        chunk = text[-size:]
+        if len(chunk) == size and text.endswith(chunk * 6):
+            return True
+    lines = [x for x in text.splitlines()[-15:] if len(x) >= 20]
+    if len(lines) - len(set(lines)) >= 2:
+        return True
+    return any(text.count(text[i : i + 30]) >= 3 for i in range(0, max(0, min(len(text), 2000) - 30), 50))
+
+
+@F.pandas_udf(T.BooleanType())
+def has_repetition(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: repeats(t or ""))
+
+
+def json_objects(text: str) -> list[str]:
+    """The outermost JSON objects in a prose, as canonical texts; those with a key twice or that don't parse are left out."""
+
+    def once(pairs):
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("a key twice")
+        return dict(pairs)
+
+    decoder, found, at = json.JSONDecoder(object_pairs_hook=once), [], text.find("{")
+    while at >= 0:
+        try:
+            value, end = decoder.raw_decode(text, at)
+            found.append(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+        except ValueError:
+            end = at + 1
+        at = text.find("{", end)
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def extract_json_objects(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: json_objects(t or ""))
+
+
+def repair(text: str) -> str:
+    """A JSON text without fences, comment lines and trailing commas, and with its brackets closed."""
+    t = re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", text.strip())
+    t = "\n".join(x for x in t.splitlines() if not x.lstrip().startswith("//"))
+    open_, inside, escaped = [], False, False
+    for c in t:
+        if inside:
+            inside = escaped or c != '"'
+            escaped = c == "\\" and not escaped
+        elif c == '"':
+            inside = True
+        elif c in "{[":
+            open_.append("}" if c == "{" else "]")
+        elif c in "}]" and open_:
+            open_.pop()
+    t = re.sub(r",\s*$", "", t + '"' * inside) + "".join(reversed(open_))
+    return re.sub(r",(\s*[}\]])", r"\1", t)
+
+
+@F.pandas_udf(T.StringType())
+def repair_json(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else repair(t))

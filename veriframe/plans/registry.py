@@ -39,4 +39,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["e1_count_by_key"](spark, sf_dir)
+    return queries()["q01_price_groups"](spark, sf_dir)
