@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from conftest import DATA, compare
+from support import DATA, compare
 from veriframe.plans import registry
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
