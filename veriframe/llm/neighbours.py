@@ -48,7 +48,7 @@ def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, seed: int =
     """
     rng = np.random.default_rng(seed)
     n = len(x)
-    room = int(np.ceil(n / parts * 1.1))
+    room = -(-11 * n // (10 * parts))
     centres = x[rng.choice(n, parts, replace=False)].astype(float)
     part = np.zeros(n, np.int64)
     for _ in range(15):
