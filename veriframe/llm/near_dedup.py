@@ -2,9 +2,10 @@
 
 Copies with the same set of shingles are one class from the start. Signatures of classes are cut into bands; classes that
 share a band's values meet in a bucket. A bucket first proposes its smallest class to all others, which links large groups
-of near copies with as many pairs as members; the links are confirmed on the full sets and the groups joined. Where much of a
-bucket stays apart, its members are proposed to other drawn members, round by round, again one pair a member. Then every
-pair of a bucket whose groups are apart even so is confirmed or refuted too, so no link between different texts of one
+of near copies with as many pairs as members; the links are confirmed on the full sets and the groups joined. Texts of buckets
+that stay apart meet again if they share one of their rarest shingles, as all links do but a shared passage does not.
+Where much of such a group stays apart, its members are proposed to other drawn members, round by round, again one pair a
+member. Then every pair whose groups are apart even so is confirmed or refuted too, so no link between different texts of one
 bucket is lost however large the bucket. Groups grow by repeated exchange of smallest members (large star, small star).
 """
 
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.llm.common import cut
@@ -184,8 +185,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(F.col("i") * 100 >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """key, id, n: each set's rarest shingles, as many as two sets at the threshold cannot both do without, and its size.
+
+    Sets with 100 * |intersection| >= percent * |union| share percent / 100 of either at least, so they share one of the
+    |set| - ceil(percent / 100 * |set|) + 1 that come first in any order common to all sets. Rare shingles come first, so a
+    passage that many texts share brings none of them together. Shingles of one set only are left out at the end.
+    """
+    rows = sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
+    known = rows.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "key"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return rows.join(known, "key").withColumn("rank", rank).filter((F.col("rank") <= first) & (F.col("f") > 1)).select("key", "id", "n")
+
+
 def _apart(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, int]:
-    """The members of buckets that hold several components, with these, and how many pairs of a bucket are apart."""
+    """The members of groups (of one key) that hold several components, with these, and how many pairs are apart."""
     place = members.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     counts = place.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
     open_keys = counts.filter("own < all * all").select("key", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"))
@@ -221,9 +236,14 @@ def group(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
     links = cut(confirmed(first, sets, percent))
     joined = components(links)
 
-    # Members of one bucket that are still apart are proposed to another member, drawn anew for each bucket and round,
-    # while that leaves far fewer pairs than there were.
+    # Buckets also gather texts that share a passage only. Those still apart meet again on their rarest shingles.
     place, apart = _apart(members, joined)
+    if apart:
+        members = cut(rarest(sets.join(place.select("id").distinct(), "id", "left_semi"), percent))
+        place, apart = _apart(members, joined)
+
+    # Members of one group that are still apart are proposed to another member, drawn anew for each group and round,
+    # while that leaves far fewer pairs than there were.
     before = None
     for turn in range(ROUNDS):
         if apart * 8 <= members.count() or (before is not None and apart > 0.8 * before):
@@ -235,7 +255,7 @@ def group(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
         joined = components(links)
         place, apart = _apart(members, joined)
 
-    # Every pair of a bucket that is apart even now is confirmed or refuted.
+    # Every pair of a group that is apart even now is confirmed or refuted.
     other = place.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
     near_size = (F.least("n", "m") * 100 >= percent * F.greatest("n", "m")) & (F.col("component") != F.col("other")) & (F.col("id") < F.col("b"))
     second = place.join(other, "key").filter(near_size).select(F.col("id").alias("a"), "b").distinct()
