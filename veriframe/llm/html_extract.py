@@ -394,7 +394,7 @@ def made_up_pages(n: int, seed: int = 7) -> list[tuple[str, str]]:
         article = pick(
             lambda: wrap("article", pick("", "", named("content")), body), lambda: wrap("article", "", body), lambda: wrap("main", pick("", named("content")), body),
             lambda: wrap("div", named("content"), body), lambda: wrap("section", named("content"), body), lambda: wrap("main", "", wrap("article", "", body)),
-            lambda: wrap("div", named("content"), wrap("div", pick("", named("content")), body)),
+            lambda: wrap("div", named("content"), wrap("div", pick("", named("content")), body)), lambda: body,
         )()
         before = [boiler(k) for k in ("nav", "header", "notice", "ad", "form", "side") if chance({"nav": 0.8, "header": 0.5, "ad": 0.5}.get(k, 0.3))]
         after = [boiler(k) for k in ("side", "ad", "comment", "notice", "form", "share", "nav", "footer") if chance({"footer": 0.8, "comment": 0.45}.get(k, 0.3))]
