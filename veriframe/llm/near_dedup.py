@@ -4,9 +4,9 @@ Copies with the same set of shingles are one class from the start. Signatures of
 share a band's values meet in a bucket. A bucket first proposes its smallest class to all others, which links large groups
 of near copies with as many pairs as members; the links are confirmed on the full sets and the groups joined. Texts of buckets
 that stay apart meet again if they share one of their rarest shingles, as all links do but a shared passage does not.
-Where much of such a group stays apart, its members are proposed to other drawn members, round by round, again one pair a
-member. Then every pair whose groups are apart even so is confirmed or refuted too, so no link between different texts of one
-bucket is lost however large the bucket. Groups grow by repeated exchange of smallest members (large star, small star).
+Those that meet are compared with one leader; members still apart can only be linked if they differ from the leader in the
+same shingles, and every pair that may do so is confirmed or refuted (see differing). So no link between different texts of
+one bucket is lost however large the bucket. Groups grow by repeated exchange of smallest members (large star, small star).
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ SHINGLE = 5
 SLOTS = 127
 #: Chance, at most, that two texts just at the threshold share no bucket.
 MISS = 1e-6
-#: Rounds, at most, in which groups of one bucket are proposed to a drawn member before all their pairs are.
-ROUNDS = 12
 #: Bytes of text that are shingled at once.
 BLOCK = 4 << 20
 
@@ -199,6 +197,40 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
     return rows.join(known, "key").withColumn("rank", rank).filter((F.col("rank") <= first) & (F.col("f") > 1)).select("key", "id", "n")
 
 
+def differing(tops: DataFrame, sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one leader's members that may be linked and lie in different components.
+
+    tops has id and top, its leader; every member must have been compared with its leader, and joined must hold those links.
+    Let D be the symmetric difference of a set and its leader's, and r = (100 - percent) / (100 + percent). Sets x and y are
+    linked if |Dx| + |Dy| - 2 |Dx & Dy| <= r (|x| + |y|). If |Dx| + |Dy| alone is as small as that, both are linked with the
+    leader and lie in one component. All other linked pairs share elements of D, at least (|Dx| + |Dy| - r (|x| + |y|)) / 2 of
+    them, and so one of the first in an order common to all: those that one component only has, then the rarest. A text's
+    own edits come first there, and what the whole group shares is in no D, so members meet only where they share edits.
+    The side of larger D probes: it shares e / (1 + r) elements at least, e = |D| - r (|x| + |leader|); the other side shares
+    |D| - r (|D| + |y| + |leader|) / 2 at least, as the partner's D is no smaller. One element is the least in either case.
+    """
+    r = (100 - percent) / (100 + percent)
+    held = sets.join(tops, "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "top", "shingles", F.coalesce("component", "id").alias("component"))
+    leaders = sets.select(F.col("id").alias("top"), F.col("shingles").alias("led"))
+    apart = held.join(leaders, "top").select(
+        "top", "id", "component", F.size("shingles").alias("n"), F.size("led").alias("m"), F.concat(F.array_except("shingles", "led"), F.array_except("led", "shingles")).alias("delta")
+    )
+    rows = cut(apart.select("top", "id", "component", "n", "m", F.size("delta").alias("d"), F.explode("delta").alias("key")))
+    known = rows.groupBy("top", "key").agg(F.count(F.lit(1)).alias("f"), (F.min("component") < F.max("component")).alias("met"))
+    own = Window.partitionBy("id")
+    ranked = rows.join(known, ["top", "key"]).withColumns({"rank": F.row_number().over(own.orderBy("met", "f", "key")), "shared": F.sum(F.col("met").cast("int")).over(own)})
+    # A little slack keeps rounding from losing a pair.
+    probes = F.greatest(F.lit(1), F.ceil((F.col("d") - r * (F.col("n") + F.col("m"))) / (1 + r) - 1e-6))
+    listed = F.greatest(F.lit(1), F.ceil(F.col("d") - r * (F.col("d") + F.col("n") + F.col("m")) / 2 - 1e-6))
+    ranked = cut(ranked.filter("met").withColumns({"probes": F.col("rank") <= F.col("d") - probes + 1, "listed": F.col("rank") <= F.col("d") - listed + 1}).filter("probes or listed"))
+    x = ranked.filter("probes").select("top", "key", F.col("id").alias("x"), "n", "d", "shared", "component")
+    y = ranked.filter("listed").select("top", "key", F.col("id").alias("y"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("shared").alias("shared2"), F.col("component").alias("component2"))
+    larger = (F.col("d2") < F.col("d")) | ((F.col("d2") == F.col("d")) & (F.col("y") < F.col("x")))
+    enough = 2 * F.least("shared", "shared2") + 1e-6 >= F.col("d") + F.col("d2") - r * (F.col("n") + F.col("n2"))
+    met = x.join(y, ["top", "key"]).filter((F.col("component") != F.col("component2")) & larger & enough)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _apart(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, int]:
     """The members of groups (of one key) that hold several components, with these, and how many pairs are apart."""
     place = members.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
@@ -242,25 +274,15 @@ def group(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
         members = cut(rarest(sets.join(place.select("id").distinct(), "id", "left_semi"), percent))
         place, apart = _apart(members, joined)
 
-    # Members of one group that are still apart are proposed to another member, drawn anew for each group and round,
-    # while that leaves far fewer pairs than there were.
-    before = None
-    for turn in range(ROUNDS):
-        if apart * 8 <= members.count() or (before is not None and apart > 0.8 * before):
-            break
-        before = apart
-        drawn = place.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("a"), F.col("component").alias("to"))).alias("l"))
-        proposed = place.join(drawn, "key").filter(F.col("component") != F.col("l.to")).select(F.least("id", "l.a").alias("a"), F.greatest("id", "l.a").alias("b")).distinct()
-        links = cut(links.unionByName(confirmed(cut(proposed), sets, percent)))
-        joined = components(links)
-        place, apart = _apart(members, joined)
-
-    # Every pair of a group that is apart even now is confirmed or refuted.
-    other = place.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    near_size = (F.least("n", "m") * 100 >= percent * F.greatest("n", "m")) & (F.col("component") != F.col("other")) & (F.col("id") < F.col("b"))
-    second = place.join(other, "key").filter(near_size).select(F.col("id").alias("a"), "b").distinct()
-    second = second.join(first, ["a", "b"], "left_anti")
-    joined = components(links.unionByName(confirmed(second, sets, percent)).unionByName(copies))
+    # What is apart even so is compared with one leader, and then by how it differs from that leader.
+    if apart:
+        hubs = place.join(place.groupBy("key").agg(F.min("id").alias("hub")), "key").filter("id != hub")
+        tops = components(hubs.select(F.col("hub").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("top"))
+        led = tops.filter("id != top").select(F.col("top").alias("a"), F.col("id").alias("b")).join(first, ["a", "b"], "left_anti")
+        links = cut(links.unionByName(confirmed(led, sets, percent)))
+        second = differing(tops, sets, components(links), percent).join(first, ["a", "b"], "left_anti")
+        links = links.unionByName(confirmed(cut(second), sets, percent))
+    joined = components(links.unionByName(copies))
 
     placed = sketched.join(joined, sketched["id"] == joined["node"], "left")
     component = F.coalesce("component", "id")
