@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 import zlib
 
 import numpy as np
@@ -94,3 +95,16 @@ def test_pack_round_trip(spark, docs):
     made = {r["sequence_id"]: r["ids"] for r in K.sequences(table, K.pack(table, tokenizer_path()), tokenizer_path()).collect()}
     assert sum(map(len, made.values())) == sum(map(len, ids.values()))
     assert K.pack(docs([]), tokenizer_path()).count() == 0
+
+
+def test_ids_are_the_tokenizer_s_own():
+    """Plain texts take a short way to their ids; it must agree with the tokenizer on every mixture of characters."""
+    from tokenizers import Tokenizer
+
+    path, draw = tokenizer_path(), random.Random(5)
+    whole, quick = Tokenizer.from_file(path), K.Tokens(path)
+    signs = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(160, 256), 0x130, 0x3A3, 0x301, 0x4E2D]]
+    texts = ["".join(draw.choice(signs if draw.random() < 0.5 else "abe'st dm,.Ééß1 ") for _ in range(draw.randint(0, 30))) for _ in range(3000)]
+    texts += ["<|endoftext|>", "a<|startoftext|>b", "", "I'LL we're 'tis", "ªºµ ­"]
+    for text, ids in zip(texts, quick.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)

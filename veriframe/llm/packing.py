@@ -35,8 +35,21 @@ CACHED_WORDS = 400_000
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
+class _PartIds(dict):
+    """Ids of parts by the model alone, found when first asked for. The model reads each byte as a character of its own."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, part: str) -> bytes:
+        seen = part if part.isascii() else "".join([_BYTE_CHARS[b] for b in part.encode()])
+        self[part] = ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(seen)])
+        return ids
+
+
 class Tokens:
-    """Ids of texts by a tokenizer file, as little-endian 32-bit bytes; each distinct chunk of a text is encoded once.
+    """Ids of texts by a tokenizer file, as little-endian 32-bit bytes; each distinct chunk or part of a text is encoded once.
 
     Chunks end at ASCII white space, which this tokenizer drops, and no token of it reaches over white space.
     """
@@ -44,28 +57,20 @@ class Tokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.parts = _PartIds(self.tokenizer.model)
 
-    def _plain(self, chunk: str) -> bytes:
-        """Ids of an ASCII chunk without special tokens: its lower-cased parts, encoded one by one by the model."""
-        out = []
-        for part in _PARTS.findall(chunk.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text that is plain (see _is_plain): its lower-cased parts, encoded one by one by the model."""
+        ids = self.parts
+        return b"".join([ids[p] for p in _PARTS.findall(text.lower())])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
+    def _chunked(self, texts: list[str]) -> list[bytes]:
+        """Ids of any texts, chunk by chunk."""
         chunks = [_CHUNK.findall(t) for t in texts]
-        fresh = list({c for cs in chunks for c in cs}.difference(self.known))
         other = []
-        for c in fresh:
-            if _PRINTABLE.fullmatch(c) and "<|" not in c:
+        for c in {c for cs in chunks for c in cs}.difference(self.known):
+            if _is_plain(c):
                 self.known[c] = self._plain(c)
             else:
                 other.append(c)
@@ -77,16 +82,37 @@ class Tokens:
                 for c in part:
                     self.known[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
                 continue
-            cuts = np.searchsorted(word, np.arange(len(part) + 1))
+            cuts = (4 * np.searchsorted(word, np.arange(len(part) + 1))).tolist()
+            data = ids.tobytes()
             for i, c in enumerate(part):
-                self.known[c] = ids[cuts[i] : cuts[i + 1]].tobytes()
+                self.known[c] = data[cuts[i] : cuts[i + 1]]
         known = self.known
         return [b"".join([known[c] for c in cs]) for cs in chunks]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        if len(self.parts) > CACHED_WORDS:
+            self.parts.clear()
+        plain = [_is_plain(t) for t in texts]
+        rest = iter(self._chunked([t for t, easy in zip(texts, plain, strict=True) if not easy]))
+        return [self._plain(t) if easy else next(rest) for t, easy in zip(texts, plain, strict=True)]
+
+
+def _is_plain(text: str) -> bool:
+    """Whether a text holds nothing but printable ASCII, ASCII white space and common Latin-1 characters, and no special token.
+
+    Of these, no character changes by normalisation, and each is lower-cased by itself.
+    """
+    return "<|" not in text and not _UNUSUAL.search(text)
+
 
-#: How the tokenizer cuts lower-cased ASCII text into the parts that its model encodes.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_PRINTABLE = re.compile(r"[!-~]+")
+#: How the tokenizer cuts lower-cased text of such characters into the parts that its model encodes.
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼½¾]|[^\sa-zß-öø-ÿ0-9²³¹¼½¾]+")
+_UNUSUAL = re.compile(r"[^\t-\r -~¡-©«-´¶-¹»-ÿ]")
+#: The character that stands for each byte: itself if it is visible Latin-1, and else one from 256 on, in order.
+_VISIBLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_CHARS = dict(zip([*_VISIBLE, *(b for b in range(256) if b not in set(_VISIBLE))], [chr(b) for b in _VISIBLE] + [chr(256 + i) for i in range(256 - len(_VISIBLE))], strict=True))
 
 
 def _cut_pieces(path: str, length: int):
