@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -34,19 +35,45 @@ def osa_distance(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else osa(a, b) for a, b in zip(left, right, strict=True)], dtype="Int32")
 
 
+#: Fixed values of the reference: what counts as a token, and the sizes of chunks that a tail is tried for.
+_LOOP_TOKEN = re.compile(r"[A-Za-z0-9]+(?::[A-Za-z0-9]+)?|[\u4e00-\u9fff]{2,}")
+_CHUNKS = (4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 40)
+
+
+def window_thrice(text: str, size: int = 30, step: int = 50) -> bool:
+    """Whether one of the windows at every step of the whole text occurs three times without overlap.
+
+    Short texts are searched for each window, which is quicker there; long ones are passed over once, so the work stays linear."""
+    if len(text) < 8000:
+        return any(text.count(text[i : i + size]) >= 3 for i in range(0, len(text) - size, step))
+    probes = {text[i : i + size] for i in range(0, len(text) - size, step)}
+    seen: dict[str, tuple[int, int]] = {}
+    for i in range(len(text) - size + 1):
+        window = text[i : i + size]
+        if window in probes:
+            end, n = seen.get(window, (0, 0))
+            if i >= end:
+                if n == 2:
+                    return True
+                seen[window] = (i + size, n + 1)
+    return False
+
+
 def repeats(text: str) -> bool:
-    """Whether a text ends in a loop: a token twelve times among the last 120, its last chunk six times, or a window of 30."""
-    tokens = text.split()[-120:]
-    if any(len(t) >= 4 and tokens.count(t) >= 12 for t in set(tokens)):
+    """Whether a text loops: a token of 4 characters twelve times among the last 120, its last chunk six times (white space
+    left out), one of the last 15 lines of over 15 characters twice, or a window of 30 three times anywhere in the text.
+
+    The reference leaves the windows of texts with fewer than two such lines, or of 200 characters at most, unread; here
+    all are read. It looks at the prose of a model's answer only; cutting JSON out is left to the caller.
+    """
+    counts = Counter(t for t in _LOOP_TOKEN.findall(text)[-120:] if len(t) >= 4)
+    if counts and max(counts.values()) >= 12:
         return True
-    for size in (8, 16, 32):
-        chunk = text[-size:]
-        if len(chunk) == size and text.endswith(chunk * 6):
-            return True
-    lines = [x for x in text.splitlines()[-15:] if len(x) >= 20]
-    if len(lines) - len(set(lines)) >= 2:
+    tail = re.sub(r"\s+", "", text)[-1600:]
+    if any(len(tail) >= 8 * size and tail.endswith(tail[-size:] * 6) for size in _CHUNKS):
         return True
-    return any(text.count(text[i : i + 30]) >= 3 for i in range(0, max(0, min(len(text), 2000) - 30), 50))
+    lines = [x for x in map(str.strip, text.split("\n")) if len(x) > 15][-15:]
+    return len(set(lines)) < len(lines) or window_thrice(text)
 
 
 @F.pandas_udf(T.BooleanType())
