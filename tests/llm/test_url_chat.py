@@ -36,6 +36,14 @@ def test_urls_against_brute_force(spark):
     assert {r["verdict"] for r in U.judge(table, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_urls_within_urls(spark):
+    urls = ["http://a.org?u=http://x.com/en/9", "http://a.com#http://x.com/en/9", "http://com?a://b/c://d/en/", "http://com/en/?u=http://b.com/x", "://://com/en/", "http://example.com://x/en/7", "x" * 50_000 + "://com?://x/en/", "a:/b:c://com/en/1"]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = sorted(tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in U.judge(table, rules).collect())
+    assert got == sorted((i, *naive(u, RULES)) for i, u in enumerate(urls))
+
+
 def test_nested_rules_stack(spark):
     rules = spark.createDataFrame([("h.com", "/a" * i, "block" if i % 2 else "allow") for i in range(6)], "host string, path string, verdict string")
     urls = spark.createDataFrame([(i, "http://h.com" + "/a" * i + "/b") for i in range(8)], "page_id long, url string")
