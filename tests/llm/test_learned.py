@@ -116,6 +116,19 @@ def test_html_held_out_layouts():
     assert np.mean([a == b for a, (_, b) in zip(got, fresh, strict=True)]) > 0.9
 
 
+def test_html_without_end_tags():
+    read = lambda s: (lambda p: p.text(np.ones(len(p.tag), bool)))(H.Page(s))
+    article = "<article><p>One.</p><p>Two.</p></article>"
+    pages = [
+        f"<head><title>x</title><body>{article}", f"<head><meta charset=a><title>x</title>{article}", f"<html><head><script>'<!-- <head> <body>'</script></head><body>{article}",
+        f"<form><select><option>a<option>b</form>{article}", f"<div><button>Go</div>{article}", f"<button>Go{article}", f"<object data=x>{article}<object data=y>no</object>",
+        f"<svg><title>a<b</title><style>'</svg> <select>'</style><path d=1></svg>{article}", f"<button><div>Go<p>now</div></button>{article}", f"<video><source src=x>none{article}",
+        f"<div><object><script>'</div>'</script><p>no</object></div>{article}", f"<select><option>a{article}<select><option>b</select>", f"<head><title>x</title><svg><g></head><body>{article}",
+    ]
+    assert [read(s) for s in pages] == ["One. Two."] * len(pages)
+    assert read("<head><title>x</title>Bare <b>text</b>") == "Bare text" and read("<button>" * 50_000) == ""
+
+
 def test_html_edges(spark):
     trees = H.train(300)
     body = "".join(f"<p>A sentence of some words, number {i}, stands here for all to read.</p>" for i in range(8))

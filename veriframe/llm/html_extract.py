@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 #: Elements that make blocks, those that never hold text to read, and those without an end tag.
 BLOCKS = """html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas textarea select button audio video datalist".split())
+SILENT = frozenset("script style noscript template title svg math iframe object canvas textarea select button audio video datalist".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset(("br", "hr"))
@@ -71,6 +71,23 @@ def hints_of(attributes: str) -> int:
     return bits
 
 
+def unclosed(name: str, source: str) -> set[int]:
+    """Where the elements of a name begin that have no end tag of their own."""
+    open_: list[int] = []
+    for m in re.finditer(rf"<(/?){name}(?=[\s/>])(?:[^<>]*+>)?", source, re.I):
+        if m[1]:
+            del open_[-1:]
+        elif not m[0].endswith("/>"):
+            open_.append(m.start())
+    return set(open_)
+
+
+def past_raw(name: str, source: str, at: int) -> int:
+    """Where a raw element ends whose start tag ends at `at`."""
+    stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
+    return stop.end() if stop else len(source)
+
+
 class Page:
     """Blocks of a page in the order of their start tags, and its pieces of text: (block, text, whether a break is before)."""
 
@@ -86,7 +103,8 @@ class Page:
         stack, names = [0], ["html"]
         at, link, gap = 0, False, True
         n = len(source)
-        silent: list[str] = []
+        silent: list[str] = []  # open silent elements, and the blocks within them
+        loose, lacking = False, {}
         while at < n:
             m = _TOKEN.search(source, at)
             begin, end = m.span() if m else (n, n)
@@ -101,18 +119,32 @@ class Page:
             if name is None:
                 continue
             name, closing = name.lower(), bool(m[1] or m[4])
-            if silent:
-                if name == silent[-1]:
-                    silent.pop() if closing else silent.append(name)
-                continue
             attributes = m[3] if m[2] else m[6]
+            if silent:
+                if closing and name in silent:
+                    while silent.pop() != name:
+                        pass
+                    continue
+                # The end of a block around a silent element ends it, as does a new block if it has no end tag.
+                if name == "body" or (name in names if closing else loose and name in _TAGS):
+                    silent.clear()
+                elif not closing and not attributes.endswith("/"):
+                    if name in RAW:
+                        at = past_raw(name, source, at)
+                    elif name in SILENT or name in _TAGS:
+                        silent.append(name)
+                    continue
+                else:
+                    continue
             if name in SILENT:
                 if not closing and not attributes.endswith("/"):
                     if name in RAW:
-                        stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                        at = stop.end() if stop else n
+                        at = past_raw(name, source, at)
                     else:
+                        if name not in lacking:
+                            lacking[name] = unclosed(name, source)
                         silent.append(name)
+                        loose = begin in lacking[name]
                 continue
             if name not in _TAGS:
                 link = link if name != "a" else not closing
