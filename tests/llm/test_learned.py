@@ -129,6 +129,23 @@ def test_html_without_end_tags():
     assert read("<head><title>x</title>Bare <b>text</b>") == "Bare text" and read("<button>" * 50_000) == ""
 
 
+def test_html_bare_text_in_hand_written_layouts():
+    trees = H.train()
+    a = "The council met on Tuesday to talk about the old bridge, which has been closed since March."
+    b = "Repairs will cost more than was planned. Engineers found rust in both of the towers, and nobody knows how deep it goes."
+    c = "A vote is due next week, after the public has been heard."
+    nav = "<ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/s>Sport</a></li></ul>"
+    foot = "<footer>&copy; 2024 The Daily Paper. All rights reserved.</footer>"
+    pages = [
+        f"<html><body><h1>Bridge closed</h1>{a}<br><br>{b}<br><br>{c}</body></html>",
+        f"<html><head><title>t</title><body>{nav}<h1>Bridge closed</h1>{a}<br><br>{b}<br><br>{c}{foot}",
+        f"<body><h2>Bridge closed</h2>\n{a}\n<br><br>\n{b} <b>{c}</b>\n<hr>\n<a href=/>Home</a> | <a href=/about>About</a></body>",
+        f"<body><nav>{nav}</nav><div><h1>Bridge closed</h1>{a}<br>{b}<br>{c}</div>{foot}</body>",
+    ]
+    got = H.texts_of(trees, pages)
+    assert got == [" ".join(["Bridge closed", a, b, c])] * len(pages)
+
+
 def test_html_edges(spark):
     trees = H.train(300)
     body = "".join(f"<p>A sentence of some words, number {i}, stands here for all to read.</p>" for i in range(8))

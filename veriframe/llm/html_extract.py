@@ -43,6 +43,8 @@ HINTS = {
 }
 _HINT = {w: 1 << i for i, words in enumerate(HINTS.values()) for w in words.split()}
 _TAGS = {t: i for i, t in enumerate(BLOCKS)}
+#: The tag of a run of bare text.
+RUN = len(BLOCKS)
 _GROUPS = [("article", "main"), ("nav", "menu"), ("header", "hgroup"), ("footer", "address"), ("aside", "dialog"), ("form", "fieldset")]
 _TAG_GROUP = {t: 1 << i for i, ts in enumerate(_GROUPS) for t in ts}
 #: An open p ends where one of these begins; an open item where another of its kind begins, within its list or table.
@@ -89,7 +91,11 @@ def past_raw(name: str, source: str, at: int) -> int:
 
 
 class Page:
-    """Blocks of a page in the order of their start tags, and its pieces of text: (block, text, whether a break is before)."""
+    """Blocks of a page in the order of their start tags, and its pieces of text: (block, text, whether a break is before).
+
+    Text that stands straight under the root, or beside blocks within another, is a block of its own from one block's edge
+    or hr to the next: a run.
+    """
 
     __slots__ = ("tag", "parent", "hint", "pieces", "links")
 
@@ -105,12 +111,16 @@ class Page:
         n = len(source)
         silent: list[str] = []  # open silent elements, and the blocks within them
         loose, lacking = False, {}
+        edge, edges = 0, []  # edges passed before each piece
+        started: list[int] = []  # blocks started before each piece
         while at < n:
             m = _TOKEN.search(source, at)
             begin, end = m.span() if m else (n, n)
             if begin > at and not silent:
                 self.pieces.append((stack[-1], source[at:begin], gap))
                 self.links.append(link)
+                edges.append(edge)
+                started.append(len(self.tag))
                 gap = False
             at = end
             if not m:
@@ -149,8 +159,10 @@ class Page:
             if name not in _TAGS:
                 link = link if name != "a" else not closing
                 gap = gap or name in BREAKS
+                edge += name == "hr"
                 continue
             gap = True
+            edge += 1
             if closing:
                 if name in names[1:]:
                     while names[-1] != name:
@@ -176,6 +188,27 @@ class Page:
             stack.append(len(self.tag) - 1)
             names.append(name)
             link = False
+        self._set_runs(edges, started)
+
+    def _set_runs(self, edges: list[int], started: list[int]) -> None:
+        mixed = {0, *self.parent}
+        first: dict[int, tuple[int, int]] = {}  # by edge: blocks started before the run, and the block that it is in
+        for (block, piece, _), e, s in zip(self.pieces, edges, started, strict=True):
+            if e not in first and block in mixed and piece.strip():
+                first[e] = (s, block)
+        if not first:
+            return
+        before = np.bincount([s for s, _ in first.values()], minlength=len(self.tag) + 1).cumsum()
+        place = np.arange(len(self.tag)) + before[: len(self.tag)]
+        n = len(self.tag) + len(first)
+        tag, parent, hint = np.full(n, RUN), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        up = np.array(self.parent)
+        tag[place], hint[place], parent[place] = self.tag, self.hint, np.where(up < 0, -1, place[up])
+        own = {e: s + k for k, (e, (s, _)) in enumerate(first.items())}
+        for e, (_, block) in first.items():
+            parent[own[e]] = place[block]
+        self.tag, self.parent, self.hint = tag.tolist(), parent.tolist(), hint.tolist()
+        self.pieces = [(own[e] if e in own else int(place[b]), t, g) for (b, t, g), e in zip(self.pieces, edges, strict=True)]
 
     def text(self, kept: np.ndarray) -> str:
         """The text of kept blocks, with white space made single."""
@@ -256,7 +289,7 @@ class Forest:
             up[:, 6] / (up[:, 5] + 1), np.log1p(siblings), self.place / siblings, np.minimum(self.depth, 30), np.log1p(self.children), chars / (words + 1),
         ]
         kinds = [("p",), ("div", "section", "center"), ("ul", "ol", "dl", "menu"), ("li", "dd", "dt"), ("table", "tr", "td", "tbody", "th"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("blockquote", "pre", "figure", "figcaption")]
-        tags = [np.isin(self.tag, [_TAGS[t] for t in k]) for k in kinds]
+        tags = [np.isin(self.tag, [_TAGS[t] for t in k]) for k in kinds] + [self.tag == RUN]
         return np.column_stack([*numbers, *tags, bits(self.hint, len(HINTS)), bits(self.above_hint, len(HINTS)), bits(self.group, len(_GROUPS)), bits(self.above_group, len(_GROUPS))]).astype(np.float32)
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
@@ -268,11 +301,12 @@ class Forest:
         kept = self.root.copy()
         for level in self.levels[1:]:
             kept[level] = kept[self.parent[level]] & (best[level] > 0)
-        # Text straight under the root is main text only on pages that have no other.
+        # Runs straight under the root that the trees drop are main text only on pages that have no other.
         fed = np.zeros(len(self.base), bool)
         page = np.repeat(np.arange(len(self.base)), self.sizes)
         np.logical_or.at(fed, page, kept & ~self.root & (self.own[:, 0] > 0))
         kept[self.base[fed]] = False
+        kept |= (self.tag == RUN) & self.root[self.parent] & ~fed[page]
         return kept
 
 
@@ -400,13 +434,15 @@ def made_up_pages(n: int, seed: int = 7) -> list[tuple[str, str]]:
         if chance(0.8):
             paragraphs.append(wrap(pick("h1", "h1", "h2"), "", title))
             shown.append(title)
-        broken = chance(0.4)
+        broken, bare = chance(0.4), chance(0.2)
         for k in range(int(integer(1, 12)) if chance(0.9) else 40):
             p = prose(6) if chance(0.8) else sentence(1, 4).rstrip(pick(".", ""))
             if chance(0.08):
                 p = pick(" | ", " ", ", ").join(rng.choices(words, k=integer(1, 40)))
             shown.append(p)
-            if broken and k % 4 == 0:
+            if bare and chance(0.85):
+                paragraphs.append(p + pick("<br>", "<br><br>", "<br><br>", "<br /><br />\n"))
+            elif broken and k % 4 == 0:
                 paragraphs.append(f"<p><b>{p}<br>")
             elif chance(0.06):
                 paragraphs.append(wrap(pick("h2", "h3", "blockquote", "pre"), "", p))
@@ -427,10 +463,16 @@ def made_up_pages(n: int, seed: int = 7) -> list[tuple[str, str]]:
             lambda: wrap("article", pick("", "", named("content")), body), lambda: wrap("article", "", body), lambda: wrap("main", pick("", named("content")), body),
             lambda: wrap("div", named("content"), body), lambda: wrap("section", named("content"), body), lambda: wrap("main", "", wrap("article", "", body)),
             lambda: wrap("div", named("content"), wrap("div", pick("", named("content")), body)), lambda: body,
-        )()
+        )() if not bare or chance(0.4) else pick(body, body, wrap("div", "", body))
         before = [boiler(k) for k in ("nav", "header", "notice", "ad", "form", "side") if chance({"nav": 0.8, "header": 0.5, "ad": 0.5}.get(k, 0.3))]
         after = [boiler(k) for k in ("side", "ad", "comment", "notice", "form", "share", "nav", "footer") if chance({"footer": 0.8, "comment": 0.45}.get(k, 0.3))]
+        if chance(0.15):
+            before, after = [], []
         rng.shuffle(before)
+        if chance(0.2):
+            before.insert(0, pick(" | ", " ", " &middot; ").join(f'<a href="/{word()}">{word()}</a>' for _ in range(int(integer(1, 9)))) + "<hr>")
+        if chance(0.2):
+            after.append("<hr>" + pick(f"&copy; {word()} {word()}", sentence(1, 8), f'<a href="/{word()}">{word()}</a> | <a href="/">{word()}</a>', f"{word()} {sentence(1, 6)}<br>{word()}"))
         parts = "".join(before) + "<!-- ad -->" + article + "".join(after)
         if chance(0.3):
             parts = wrap("div", pick("", ' class="container"', ' id="wrapper"', ' class="page"', ' class="layout row"'), parts)
