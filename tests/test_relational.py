@@ -82,3 +82,18 @@ def test_upsert_and_progress(spark):
     d = spark.createDataFrame([("F", 5, 0, 0, "202601", "")], "folder string, image_count int, processed int, ready int, period string, status string")
     s = spark.createDataFrame([("f", 4, 3, 1, "", "running")], d.schema)
     assert rows(C.progress(d, s, s.limit(0)), "folder", "image_count", "processed", "period", "status") == [("f", 5, 3, "202601", "running")]
+
+
+def test_best_overlap_reads_every_row(spark, tmp_path):
+    from veriframe.plans import registry
+
+    rows = [(s, p, float(q)) for s, p, q in ((1, 1, 50), (2, 1, 50), (1, 2, 3), (3, 2, 4), (1, 3, 5), (3, 3, 6), (3, 3, 45), (4, 9, 50))]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    sold = {(s, p) for s, p, _ in rows}
+    want = []
+    for s in {s for s, _ in sold}:
+        shared = {o: sum((o, p) in sold for z, p in sold if z == s) for o, _ in sold if o != s}
+        best = min(((-n, o) for o, n in shared.items() if n), default=None)
+        want += [(s, best[1], -best[0])] if best else []
+    got = registry.queries()["q14b_best_overlap_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) == [(1, 3, 2), (2, 1, 1), (3, 1, 2)]

@@ -185,6 +185,18 @@ def q14(spark, sf):
     return R.best_overlap(sold, sold.withColumnRenamed("l_suppkey", "other"), "l_partkey", "l_suppkey", "other")
 
 
+@query(
+    "q14b_best_overlap_all",
+    """WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
+       p AS (SELECT a.l_suppkey AS s, b.l_suppkey AS other, count(*) AS shared FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2)
+       SELECT s AS l_suppkey, other, shared FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY shared DESC, other) AS r FROM p) WHERE r = 1""",
+)
+def q14b(spark, sf):
+    """As q14, whose SQL is fixed to quantities above 40, over all of lineitem."""
+    sold = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
+    return R.best_overlap(sold, sold.withColumnRenamed("l_suppkey", "other"), "l_partkey", "l_suppkey", "other")
+
+
 @query("q15_fuzzy_nearest")
 def q15(spark, sf):
     """Customer codes with two neighbouring characters swapped, corrected against the codes by unique nearest edit distance."""
