@@ -97,3 +97,13 @@ def test_best_overlap_reads_every_row(spark, tmp_path):
         want += [(s, best[1], -best[0])] if best else []
     got = registry.queries()["q14b_best_overlap_all"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want) == [(1, 3, 2), (2, 1, 1), (3, 1, 2)]
+
+
+def test_disagreement_is_with_the_set_of_earlier_models(spark):
+    from veriframe.plans import composites as C
+
+    passes = [("a", 1, "A", "10", True), ("a", 2, "B", "10", True), ("a", 3, "A", "10", True), ("a", 4, "C", None, True), ("a", 5, "B", "1,1", True), ("b", 1, "X", "5", False), ("b", 2, "Y", "5", True), ("b", 3, None, "5", True), ("b", 4, "Z", "5", False)]
+    df = spark.createDataFrame(passes, "k string, o int, model string, price string, owned boolean")
+    flagged = lambda **kw: sorted((r["k"], r["o"]) for r in C.disagreements(df, "k", "o", "model", "price", **kw).filter("disagrees").collect())
+    assert flagged() == [("a", 2), ("a", 4), ("a", 5), ("b", 2), ("b", 4)]
+    assert flagged(owned=df["owned"], bound=df["o"] > 2) == [("a", 2), ("a", 4)]

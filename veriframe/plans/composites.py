@@ -27,12 +27,20 @@ def decide(passes: DataFrame, key: str, attempt: str, reasons: str, most: int =
     return passes.withColumn("_earlier", earlier).withColumn("decision", decision).drop("_earlier")
 
 
-def disagreements(passes: DataFrame, key: str, attempt: str, model: str, price: str) -> DataFrame:
-    """passes with `disagrees`: an earlier pass had another model, or the same model at another price."""
+def disagreements(passes: DataFrame, key: str, attempt: str, model: str, price: str, owned: Column | None = None, bound: Column | None = None) -> DataFrame:
+    """passes with `disagrees`: the model is none of the earlier ones, or an earlier pass had the same model at another price.
+
+    owned: passes whose models count, as the current or an earlier one; bound: earlier passes whose prices count. All do if left out.
+    """
     before = Window.partitionBy(key).orderBy(attempt).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.collect_list(F.struct(F.col(model).alias("m"), T.digits_int(F.col(price)).alias("p"))).over(before)
-    other = F.exists(F.col("_earlier"), lambda e: (e["m"] != F.col(model)) | ((e["m"] == F.col(model)) & (e["p"] != T.digits_int(F.col(price)))))
-    return passes.withColumn("_earlier", earlier).withColumn("disagrees", F.coalesce(other, F.lit(False))).drop("_earlier")
+    yes = F.lit(True)
+    counts, priced = F.coalesce(yes if owned is None else owned, F.lit(False)), F.coalesce(yes if bound is None else bound, F.lit(False))
+    digits = T.digits_int(F.col(price))
+    earlier = F.collect_list(F.struct(F.col(model).alias("m"), digits.alias("p"), counts.alias("owned"), priced.alias("bound"))).over(before)
+    models = F.transform(F.filter("_earlier", lambda e: e["owned"] & e["m"].isNotNull()), lambda e: e["m"])
+    moved = counts & (F.size(models) > 0) & ~F.array_contains(models, F.col(model))
+    repriced = F.exists("_earlier", lambda e: e["bound"] & F.coalesce((e["m"] == F.col(model)) & (e["p"] != digits), F.lit(False)))
+    return passes.withColumn("_earlier", earlier).withColumn("disagrees", F.coalesce(moved, F.lit(False)) | repriced).drop("_earlier")
 
 
 def eligible(passes: DataFrame, flags: list[str], health: str, allowed: list[str]) -> DataFrame:
