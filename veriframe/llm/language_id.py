@@ -8,6 +8,7 @@ switches occur; prediction is by forward-backward over all words of the whole te
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -17,8 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriframe.llm.common import cut
+
 #: Documents of each language that the model is fitted on, at most, and the longest such document, in characters.
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 150, 20_000
+#: Languages up to which the sample's limits, a row for each, are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 #: Rows of the hashed feature table, passes over the sample, spans spliced together in training, and their words.
 FEATURES, EPOCHS, RATE, DECAY = 1 << 17, 4, 0.3, 1e-4
 SPAN = 24
@@ -32,8 +37,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def words_of(text: str | None) -> list[str]:
     """The lower-cased runs of letters of a text."""
-    found = _WORD.findall((text or "").lower())
-    return found if any(c.isalpha() for w in found[:50] for c in w) else [w for w in found if any(c.isalpha() for c in w)]
+    return [w for w in _WORD.findall((text or "").lower()) if w.isalpha() or any(c.isalpha() for c in w)]
 
 
 def _scramble(x: np.ndarray, salt: int) -> np.ndarray:
@@ -233,19 +237,28 @@ def train(texts: list[str], labels: list[str], seed: int = 9) -> Model:
     return Model(languages, table, transition, start)
 
 
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted({(y, t) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)})
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, t in rows], [y for y, _ in rows]))], pa.binary())], names=["model"])
+
+
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id") -> Model:
     """A model of the labelled rows of docs (text, lang): of each language those with the least hashes, per_language at most.
 
-    Null languages and texts, and texts of over SAMPLE_CHARS characters, are not learned from; ties go by text.
+    Null languages and texts, and texts of over SAMPLE_CHARS characters, are not learned from; ties go by text. The limit of
+    each language is found on hashes alone and then filters the texts where they are read, so none moves but the sample. It
+    is learned from in one task, as it is bounded, and the driver only sees the model.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    narrow = labelled.select("lang", F.xxhash64(F.col(id_col), "text").alias("h"))
+    hashed = F.xxhash64(F.col(id_col), "text")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    limits = narrow.withColumn("rank", rank).filter(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("limit"))
-    chosen = labelled.join(limits, "lang")
-    picked = chosen.filter(F.xxhash64(F.col(id_col), "text") <= F.col("limit")).select("lang", "text").dropDuplicates()
-    rows = sorted((r["lang"], r["text"]) for r in picked.collect())
-    return train([t for _, t in rows], [y for y, _ in rows])
+    limits = labelled.select("lang", hashed.alias("h")).withColumn("rank", rank).filter(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("limit"))
+    limits = cut(limits)
+    if limits.count() <= BROADCAST_LANGUAGES:
+        limits = F.broadcast(limits)
+    picked = labelled.select("lang", "text", hashed.alias("h")).join(limits, "lang").filter("h <= limit").select("lang", "text")
+    learned = picked.repartition(1).mapInArrow(_train, "model binary").first()
+    return pickle.loads(learned["model"]) if learned else train([], [])  # no task runs without rows
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:

@@ -47,18 +47,20 @@ def shared(ranked: DataFrame) -> DataFrame:
     return ranked.join(intervals, ["r1", "r2"])
 
 
-def doubled(level: DataFrame, most: int) -> list[DataFrame]:
-    """Level by level (doc, line, r1, r2): the places whose next 2^k lines occur elsewhere too, while 2^k <= most."""
-    levels = [level.select("doc", "line", "r1", "r2")]
-    while 2 ** len(levels) <= most:
-        half = 2 ** (len(levels) - 1)
-        on = levels[-1].select("doc", (F.col("line") - half).alias("line"), F.col("r1").alias("s1"), F.col("r2").alias("s2"))
-        wider = levels[-1].join(on, ["doc", "line"]).select("doc", "line", *pair(F.lit(len(levels)), F.col("r1"), F.col("r2"), F.col("s1"), F.col("s2")))
-        level = cut(shared(wider).select("doc", "line", "r1", "r2"))
-        if level.isEmpty():
-            break
-        levels.append(level)
-    return levels
+def doubled(level: DataFrame, k: int) -> DataFrame:
+    """Of the ranks of 2^(k - 1) lines (doc, line, r1, r2) those of 2^k lines, at the places that other places agree with."""
+    on = level.select("doc", (F.col("line") - 2 ** (k - 1)).alias("line"), F.col("r1").alias("s1"), F.col("r2").alias("s2"))
+    wider = level.join(on, ["doc", "line"]).select("doc", "line", *pair(F.lit(k), F.col("r1"), F.col("r2"), F.col("s1"), F.col("s2")))
+    return cut(shared(wider).select("doc", "line", "r1", "r2"))
+
+
+def later_of(spans: DataFrame, level: DataFrame, k: int) -> DataFrame:
+    """doc, line, last: the spans (doc, line, n) of 2^k to 2^(k + 1) - 1 lines that stand at an earlier place, too."""
+    ends = spans.withColumn("end", F.col("line") + F.col("n") - 2**k)
+    begin = level.select("doc", "line", F.col("r1").alias("b1"), F.col("r2").alias("b2"))
+    end = level.select("doc", F.col("line").alias("end"), F.col("r1").alias("e1"), F.col("r2").alias("e2"))
+    ranked = ends.join(begin, ["doc", "line"]).join(end, ["doc", "end"]).select("doc", "line", "n", *pair(F.col("n"), F.col("b1"), F.col("b2"), F.col("e1"), F.col("e2")))
+    return shared(ranked).filter(F.col("first") != F.struct("doc", "line")).select("doc", "line", (F.col("line") + F.col("n") - 1).alias("last"))
 
 
 def shortest_runs(level: DataFrame, min_words: int) -> DataFrame:
@@ -81,20 +83,19 @@ def shortest_runs(level: DataFrame, min_words: int) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, runs: for each document with later copies the (first, last) lines of the runs to delete, which don't meet."""
-    level = cut(shared(lines_of(docs, id_col, text_col)).select("doc", "line", "words", "r1", "r2").distinct())
-    runs = cut(shortest_runs(level, min_words))
-    most = runs.agg(F.max("n")).first()[0] or 0
-    levels = doubled(level, most)
-    ranks = levels[0].withColumn("k", F.lit(0))
-    for k, deeper in enumerate(levels[1:], 1):
-        ranks = ranks.unionByName(deeper.withColumn("k", F.lit(k)))
-    k = sum((F.when(F.col("n") >= 2**i, 1).otherwise(0) for i in range(1, max(1, most).bit_length())), F.lit(0))
-    spans = runs.withColumn("k", k).withColumn("end", F.col("line") + F.col("n") - F.expr("shiftleft(1, k)"))
-    begins = ranks.select("doc", "k", "line", F.col("r1").alias("b1"), F.col("r2").alias("b2"))
-    ends = ranks.select("doc", "k", F.col("line").alias("end"), F.col("r1").alias("e1"), F.col("r2").alias("e2"))
-    ranked = spans.join(begins, ["doc", "k", "line"]).join(ends, ["doc", "k", "end"]).select("doc", "line", "n", *pair(F.col("n"), F.col("b1"), F.col("b2"), F.col("e1"), F.col("e2")))
-    copies = shared(ranked).filter(F.col("first") != F.struct("doc", "line")).select("doc", "line", (F.col("line") + F.col("n") - 1).alias("last"))
+    """doc, runs: for each document with later copies the (first, last) lines of the runs to delete, which don't meet.
+
+    Spans of different sizes can't be the same, so each level's are resolved, and written, before the next level is made.
+    """
+    lines = cut(shared(lines_of(docs, id_col, text_col)).select("doc", "line", "words", "r1", "r2").distinct())
+    spans = cut(shortest_runs(lines, min_words))
+    most = spans.agg(F.max("n")).first()[0] or 0
+    level, k = lines.select("doc", "line", "r1", "r2"), 0
+    copies = cut(later_of(spans.filter("n = 1"), level, 0))
+    while 2 ** (k + 1) <= most:
+        k += 1
+        level = doubled(level, k)
+        copies = copies.unionByName(cut(later_of(spans.filter(F.col("n").between(2**k, 2 ** (k + 1) - 1)), level, k)))
     order = Window.partitionBy("doc").orderBy("line", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.col("line") <= reach + 1, 0).otherwise(1)
@@ -110,18 +111,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     overlapping. The earliest copy stays. `emptied` tells that no word is left of a document that had some.
 
     Null texts stay null and empty ones empty; null ids come first. Rows that agree in id and text are one document: each
-    gets the same result, and they are no copies of each other. Columns named deleted_lines or emptied are replaced;
-    n_chars, if there, becomes the length of the new text. An empty table stays empty.
+    gets the same result, and they are no copies of each other. Columns named deleted_lines or emptied are replaced, and
+    all others, whatever their names, come back as they were; n_chars, if there, becomes the length of the new text. An empty table stays empty.
     """
     own = [c for c in docs.columns if c not in ("deleted_lines", "emptied")]
-    docs = docs.select(*own)
-    runs = later_copies(docs, id_col, text_col, min_words).select(F.col("doc.id").alias("_id"), F.col("doc.h").alias("_h"), F.col("runs").alias("_runs"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(runs, (F.col("_key") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.exists("_runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
-    text = F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    deleted = F.coalesce(F.aggregate("_runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1), F.lit(0))
-    out = joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], deleted.alias("deleted_lines"), F.col("_runs").isNotNull().alias("_cut"))
+    runs = later_copies(docs, id_col, text_col, min_words)
+    # The row is one column here, so that no helper can clash with a column of it.
+    text, row_id = F.col("row")[text_col], F.col("row")[id_col]
+    keyed = docs.select(F.struct(*own).alias("row")).withColumn("h", F.xxhash64(F.coalesce(text, F.lit(""))))
+    joined = keyed.join(runs, (F.col("h") == F.col("doc.h")) & row_id.eqNullSafe(F.col("doc.id")), "left")
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
+    cut_text = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    deleted = F.coalesce(F.aggregate("runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1), F.lit(0))
+    new = joined.select("row", cut_text.alias("new"), deleted.alias("deleted"), F.col("runs").isNotNull().alias("changed"))
+    values = {c: F.col("row")[c] for c in own} | {text_col: F.col("new")}
     if "n_chars" in own:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn("emptied", F.col("_cut") & ~F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).drop("_cut")
+        values["n_chars"] = F.when(F.col("changed"), F.length("new")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    emptied = F.col("changed") & ~F.col("new").rlike(r"[^\x20\x09-\x0D]")
+    return new.select(*[v.alias(c) for c, v in values.items()], F.col("deleted").alias("deleted_lines"), emptied.alias("emptied"))
