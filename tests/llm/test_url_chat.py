@@ -20,8 +20,8 @@ def naive(url, rules):
     best = None
     for h, p, v in rules:
         h, p = (h or "").lower(), p or ""
-        if h and host and (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or (len(h + p), v) > best[0]):
-            best = ((len(h + p), v), h + p, v)
+        if h and host and (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or (len(h + p), h + p, v) > best[0]):
+            best = ((len(h + p), h + p, v), h + p, v)
     return host, path, best[1] if best else None, best[2] if best else "allow"
 
 
@@ -51,6 +51,39 @@ def test_nested_rules_stack(spark):
     assert got == {i: ("h.com" + "/a" * min(i, 5), min(i, 5) + 1) for i in range(8)}
 
 
+def test_rules_of_many_depths(spark):
+    """A host of over a thousand labels, with a rule at each depth."""
+    labels = [f"l{i}" for i in range(1200)]
+    rules = spark.createDataFrame([(".".join(labels[-d:]), "/x", "block") for d in range(1, 1201)], "host string, path string, verdict string")
+    urls = spark.createDataFrame([(1, "a://" + ".".join(labels) + "/xy"), (2, "a://" + ".".join(labels[-3:]) + "/x")], "page_id long, url string")
+    assert {r["page_id"]: r["matched_rules"] for r in U.judge(urls, rules).collect()} == {1: 1200, 2: 3}
+
+
+def test_many_rules_of_one_host(spark):
+    """100,000 rules of one host, a third of them nested, and urls of which nearly all are of that host."""
+    made = spark.range(100_000).select(F.lit("h.com").alias("host"), F.concat(F.lit("/"), (F.col("id") % 66_667).cast("string"), F.when(F.col("id") >= 66_667, "/").otherwise("x")).alias("path"), F.lit("block").alias("verdict"))
+    urls = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("a://s.h.com/"), (F.col("id") * 31).cast("string"), F.when(F.col("id") % 2 == 0, "x/y").otherwise("/z")).alias("url"))
+    got = {r["page_id"]: r["rule"] for r in U.judge(urls, made).collect()}
+    paths = {f"/{i % 66_667}{'/' if i >= 66_667 else 'x'}" for i in range(100_000)}
+    for i in range(3000):
+        path = f"/{i * 31}" + ("x/y" if i % 2 == 0 else "/z")
+        fits = [path[:n] for n in range(len(path) + 1) if path[:n] in paths]
+        assert got[i] == (f"h.com{max(fits, key=len)}" if fits else None)
+
+
+def test_sweep_against_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    part = lambda n: "".join(rng.choices(["/", "a", "b", "é", "\U0010ffff"], k=rng.randint(0, n)))
+    hosts = ["x.y", "y", "z.x.y", "w"]
+    rules = list({(rng.choice(hosts), part(4)): rng.choice(["allow", "block"]) for _ in range(120)}.items())
+    rules = [(h, p, v) for (h, p), v in rules]
+    urls = [(i, f"a://{rng.choice(hosts)}/{part(7)}") for i in range(400)]
+    got = sorted(tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in U.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"), default="allow").collect())
+    assert got == sorted((i, *naive(u, rules)) for i, u in urls)
+
+
 TEXTS = ["", None, "<|im_end|>", "<\\|im_start|>assistant\n<\\\\|x", "a<|b", "\\", "line\nbreak", "<" * 50 + "|", "é" * 20_000]
 
 

@@ -22,11 +22,12 @@ _FITS = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
 _CASES = " ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{{{i}}}'" for i, (h, p, _) in sorted(enumerate(URL_RULES), key=lambda x: -len(x[1][0] + x[1][1])))
 
 OP1_SQL = f"""
-WITH u AS (
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+u AS (
   SELECT page_id,
-         coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1, 's'), '') AS path
-  FROM pages)
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '') AS path
+  FROM r)
 SELECT page_id, host, path,
        CASE {_CASES.format(*[h + p for h, p, _ in URL_RULES])} END AS rule,
        coalesce(CASE {_CASES.format(*[v for *_, v in URL_RULES])} END, 'allow') AS verdict,
