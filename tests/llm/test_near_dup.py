@@ -84,6 +84,19 @@ def test_repeated_rows_and_null_ids(spark, docs):
     assert got == [("3", "3", True), ("5", "3", False), ("5", "3", False), ("9", "9", True), ("None", "None", True)]
 
 
+def test_one_id_with_several_texts(spark, docs):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    text = " ".join(base)
+    rows = [(5, text), (1, text), (7, near), (1, "a lesser text that is quite another"), (8, "quite alone here as well it seems"), (9, "A lesser TEXT that is quite another"), (9, text.upper()), (9, text)]
+    got = {r["doc_id"]: r["component_id"] for r in N.group(docs(rows).withColumn("gone", F.lit(1))).collect()}
+    assert got == {5: 1, 1: 1, 7: 1, 8: 8, 9: 1}
+    alone = [(5, text), (7, near), (3, "an id of several texts"), (3, "that are linked with nothing else")]
+    assert {r["doc_id"]: r["component_id"] for r in N.group(docs(alone)).collect()} == {5: 5, 7: 5, 3: 3}
+    kept = N.representatives(docs(rows).withColumn("gone", F.lit(1)).withColumn("row", F.lit("clash")))
+    assert sorted((r["doc_id"], r["row"]) for r in kept.collect()) == [(1, "clash"), (1, "clash"), (8, "clash")]
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]

@@ -113,6 +113,10 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return mix(keys + np.arange(bands, dtype=np.uint64)[None, :], 999)
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _sketch(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +136,7 @@ def _sketch(rows: int):
                     [
                         ids.slice(begin, at - begin),
                         pa.array(counts, pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array([_digest(s) for s in sets], pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
                     names=["id", "n_shingles", "digest", "bands"],
@@ -142,11 +146,13 @@ def _sketch(rows: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id (the class) and shingles, of the rows (class, digest, text) whose text is of their class."""
     for batch in batches:
         for at in range(0, len(batch), 512):
             part = batch.slice(at, 512)
-            sets = [shingle_hashes(t.as_py()).view(np.int64) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            sets = [shingle_hashes(t.as_py()) for t in part.column(2)]
+            own = np.array([_digest(s) == d.as_py() for s, d in zip(sets, part.column(1), strict=True)], bool)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles"]).filter(pa.array(own))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,30 +247,47 @@ def _apart(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, int]:
     return place, int(total or 0)
 
 
+def classes_of(real: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes (id, least, n, bands, digest) of rows with the same set, and which rows (doc) are of which class (id).
+
+    A class is named by a number that no other has; `least` is its smallest document id.
+    """
+    grouped = real.groupBy("digest").agg(F.min("id").alias("least"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = cut(grouped.select(F.monotonically_increasing_id().alias("id"), "least", "n", "bands", "digest"))
+    members = real.select(F.col("id").alias("doc"), "digest").join(classes.select("digest", "id"), "digest").select("doc", "id").distinct()
+    return classes, cut(members)
+
+
+def sets_of(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, shingles: the full sets of the wanted classes (id, least, digest), from the texts (id, text) of their least documents."""
+    texts = named.withColumnRenamed("id", "least").join(wanted, "least").groupBy("least", "id", "digest", F.md5("text").alias("h")).agg(F.min("text").alias("text"))
+    sets = cut(texts.select("id", "digest", "text").mapInArrow(_sets, "id long, shingles array<long>"))
+    # A document id that comes with several texts of one set has brought that set more than once.
+    if sets.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():
+        return sets
+    return cut(sets.groupBy("id").agg(F.first("shingles").alias("shingles")))
+
+
 def group(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept, digest for each row of docs.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of five-word shingles. component_id is
     the smallest id that can be reached over links, and the document of that id is kept. Null and empty texts and those
-    without words have the empty set and are linked with nothing. Rows of the same id are one node of the graph; if their
-    texts differ, links are confirmed on the least text. A row with a null id takes no part: its component is null and it
-    is kept. Other columns are not read; an empty table gives an empty result.
+    without words have the empty set and are linked with nothing. Rows of the same id are one document: it is linked with
+    whatever any of its texts is linked with, and its rows are kept or not together. A row with a null id takes no part: its
+    component is null and it is kept. Other columns are not read; an empty table gives an empty result.
     """
     rows = rows_per_band(percent / 100)
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = cut(named.mapInArrow(_sketch(rows), "id long, n_shingles long, digest binary, bands array<long>"))
-    real = sketched.filter("id is not null and n_shingles > 0")
-    classes = cut(real.groupBy("digest").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    classes, owned = classes_of(sketched.filter("id is not null and n_shingles > 0"))
 
     hung = classes.select("id", "n", F.explode("bands").alias("key"))
     buckets = hung.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("other")).filter("leader < other").select("key", "leader")
     members = cut(hung.join(buckets, "key"))
     first = cut(members.filter("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
 
-    wanted = members.select("id").distinct()
-    texts = named.filter("id is not null").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    sets = cut(texts.mapInArrow(_sets, "id long, shingles array<long>").filter("size(shingles) > 0"))
-    copies = real.join(classes.select("digest", F.col("id").alias("a")), "digest").filter("id > a").select("a", F.col("id").alias("b"))
+    sets = sets_of(named, classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "least", "digest"))
     links = cut(confirmed(first, sets, percent))
     joined = components(links)
 
@@ -282,15 +305,23 @@ def group(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
         links = cut(links.unionByName(confirmed(led, sets, percent)))
         second = differing(tops, sets, components(links), percent).join(first, ["a", "b"], "left_anti")
         links = links.unionByName(confirmed(cut(second), sets, percent))
-    joined = components(links.unionByName(copies))
-
-    placed = sketched.join(joined, sketched["id"] == joined["node"], "left")
-    component = F.coalesce("component", "id")
-    return placed.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.hex("digest").alias("digest"))
+    # A document with several texts links their classes.
+    several = owned.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("doc", "a")
+    one = owned.join(several, "doc").filter("id != a").select("a", F.col("id").alias("b"))
+    joined = components(links.unionByName(one))
+
+    whole = classes.select("id", "least").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "least", F.coalesce("component", "id").alias("component"))
+    smallest = cut(whole.groupBy("component").agg(F.min("least").alias("component_id")))
+    named_classes = whole.join(smallest, "component").select("id", "component_id").filter("component_id is not null")
+    placed = cut(owned.join(named_classes, "id").select("doc", "component_id").distinct())
+    component = F.coalesce("component_id", "id")
+    return sketched.join(placed, sketched["id"] == placed["doc"], "left").select(
+        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.hex("digest").alias("digest")
+    )
 
 
 def representatives(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that are not kept."""
-    gone = group(docs, percent, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = group(docs, percent, id_col, text_col).filter("not kept").select(F.col(id_col).alias("gone")).distinct()
+    return docs.select(F.struct("*").alias("row")).join(gone, F.col("row")[id_col] == F.col("gone"), "left_anti").select("row.*")
 
