@@ -21,6 +21,15 @@ def test_mix_rates(spark, docs):
     assert M.mix(docs([])).count() == 0 and M.mix(table, {}).count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark, docs):
+    table = docs([(i, "x", "en", "a") for i in range(50)])
+    names = ("_u", "_n", "_s", "_cdf", "row", "u", "n", "cdf", "rate")
+    for name in names:
+        table = table.withColumn(name, F.lit("clash"))
+    out = M.mix(table).collect()
+    assert out and {r[n] for r in out for n in names} == {"clash"}
+
+
 def test_counts_are_poisson(spark):
     rate = 1.7
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))

@@ -89,6 +89,8 @@ def test_lines_against_brute_force(spark, docs):
         rows = [(i if i else None, "\n".join(rng.choices(pool, k=rng.randint(1, 14)))) for i in range(14)] + [(20, None), (21, "")]
         rows += rows[2:5]
         table = docs(rows).withColumn("line", F.lit("clash")).withColumn("runs", F.lit(1)).withColumn("emptied", F.lit(7))
+        for name in ("_runs", "_key", "_h", "_id", "_cut", "row", "h", "doc", "new", "deleted", "changed"):
+            table = table.withColumn(name, F.lit("clash"))
         want = naive_dedup(rows, least)
         got = L.dedup(table, min_words=least).collect()
         assert len(got) == len(rows)
@@ -96,6 +98,7 @@ def test_lines_against_brute_force(spark, docs):
             same = [w for (i, t), w in want.items() if i == r["doc_id"]]
             assert (r["text"] or "") in same and (r["text"] is not None) == (r["doc_id"] != 20)
             assert r["n_chars"] is None or r["n_chars"] == len(r["text"])
+            assert r["_runs"] == r["_key"] == r["row"] == r["h"] == r["doc"] == r["new"] == "clash" and r["runs"] == 1
     assert L.dedup(docs([])).count() == 0
 
 

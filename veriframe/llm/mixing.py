@@ -59,15 +59,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 20
 
     The number of copies is a function of the seed and the id alone, so repeated rows with one id have the same count.
     Null ids draw as one id, and the null source is a source of its own. Columns of docs named `copy` or `mix_key` are
-    replaced. The rows are dealt out by hash over all partitions and sorted by it within each; an empty table stays so.
+    replaced; all others, whatever their names, come back as they were. The rows are dealt out by hash over all partitions and sorted by it within each; an empty table stays so.
     """
     own = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    rates = cut(target_rates(docs, weights, size_col, total).select(F.col("source").alias("_s"), F.col("cdf").alias("_cdf")))
-    if (rates.agg(F.sum(F.size("_cdf"))).first()[0] or 0) <= BROADCAST_TERMS:
+    rates = cut(target_rates(docs, weights, size_col, total).select("source", "cdf"))
+    if (rates.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= BROADCAST_TERMS:
         rates = F.broadcast(rates)
-    drawn = uniform(F.lit(seed), F.col(id_col))
-    counted = docs.select(*own).withColumn("_u", drawn).join(rates, F.col("source").eqNullSafe(F.col("_s")), "left")
-    copies = F.size(F.filter("_cdf", lambda p: p <= F.col("_u")))
-    repeated = counted.withColumn("_n", copies).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    keyed = repeated.select(*own, "copy", F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.col(id_col).cast("string"), F.col("copy").cast("string"))).alias("mix_key"))
+    # The row is one column here, so that no helper can clash with a column of it.
+    row_id = F.col("row")[id_col]
+    drawn = docs.select(F.struct(*own).alias("row")).withColumn("u", uniform(F.lit(seed), row_id)).join(rates, F.col("row")["source"].eqNullSafe(F.col("source")), "left")
+    copies = F.size(F.filter("cdf", lambda p: p <= F.col("u")))
+    repeated = drawn.withColumn("n", copies).filter("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    keyed = repeated.select("row.*", "copy", F.md5(F.concat_ws("|", F.lit(f"{seed} order"), row_id.cast("string"), F.col("copy").cast("string"))).alias("mix_key"))
     return keyed.repartition(partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")
