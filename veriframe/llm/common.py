@@ -19,10 +19,23 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Spark's setting by which an action's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and continue from there, with the lineage cut."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write df to the checkpoint folder and continue from there, with the lineage cut.
+
+    What was shuffled for df is of no more use then, as lost partitions are read from the checkpoint, and is removed at once.
+    """
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def partitions(spark: SparkSession) -> int:

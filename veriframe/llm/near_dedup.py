@@ -254,7 +254,7 @@ def classes_of(real: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     grouped = real.groupBy("digest").agg(F.min("id").alias("least"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = cut(grouped.select(F.monotonically_increasing_id().alias("id"), "least", "n", "bands", "digest"))
-    members = real.select(F.col("id").alias("doc"), "digest").join(classes.select("digest", "id"), "digest").select("doc", "id").distinct()
+    members = real.select(F.col("id").alias("doc"), "digest").join(classes.select("digest", "id"), "digest").select("doc", "id")
     return classes, cut(members)
 
 
