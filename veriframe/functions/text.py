@@ -78,11 +78,16 @@ def hit_terms(c: Column, words: list[str]) -> Column:
 
 def unnegated(c: Column, term: str, negations: list[str], window: int = 28) -> Column:
     """Whether the term occurs anywhere without a negation in the `window` characters before it."""
-    before = F.slice(F.split(c, f"\\Q{term}\\E", -1), F.lit(1), F.size(F.split(c, f"\\Q{term}\\E", -1)) - 1)
-    # What precedes an occurrence reaches back over earlier ones too.
-    reach = F.transform(before, lambda x, i: F.right(F.array_join(F.slice(before, F.lit(1), i + 1), term), F.lit(window)))
+    pieces = F.split(c, f"\\Q{term}\\E", -1)
+    # The fold carries the last characters before each occurrence, which may reach back over earlier ones, and no more.
+    start = F.struct(F.lit("").alias("tail"), F.lit(False).alias("hit"))
     free = lambda x: ~F.exists(F.array(*map(F.lit, negations)), lambda n: x.contains(n))
-    return F.coalesce(F.exists(reach, free), F.lit(False))
+
+    def step(a, piece):
+        reach = F.right(F.concat(a["tail"], piece), F.lit(window))
+        return F.struct(F.right(F.concat(reach, F.lit(term)), F.lit(window)).alias("tail"), (a["hit"] | free(reach)).alias("hit"))
+
+    return F.coalesce(F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step)["hit"], F.lit(False))
 
 
 def clause_any(c: Column, predicate) -> Column:

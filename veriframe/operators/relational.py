@@ -133,14 +133,24 @@ def unique_nearest(probe: DataFrame, catalog: DataFrame, probe_col: str, value_c
     block = lambda c: F.substring(c, 1, family)
     values = catalog.select(value_col).distinct().withColumn("_f", block(value_col))
     probes = probe.select(probe_col).distinct().withColumn("_f", block(probe_col))
-    pairs = probes.join(values, "_f").filter(F.abs(F.length(probe_col) - F.length(value_col)) <= 2)
+    pairs = probes.join(values, "_f").filter(F.levenshtein(probe_col, value_col, 4) >= 0)  # two swaps are four edits at most
     scored = pairs.withColumn("_d", osa_distance(probe_col, value_col))
-    best = scored.groupBy(probe_col).agg(F.min(F.struct("_d", value_col)).alias("_b"), F.min("_d").alias("_m"), F.sort_array(F.collect_list("_d")).alias("_all"))
+    nearest = lambda c: F.struct("_d", c)
+    best = scored.groupBy(probe_col).agg(F.min(nearest(value_col)).alias("_b"), F.min("_d").alias("_m"), F.max_by(value_col, F.struct(-F.col("_d"), value_col)).alias("_z"))
     allowed = F.when(F.length(probe_col) >= 9, 2).when(F.length(probe_col) >= 8, 1).otherwise(0)
-    unique = F.coalesce(F.get("_all", F.lit(1)) > F.col("_m"), F.lit(True))
+    unique = F.col("_z") == F.col(f"_b.{value_col}")  # of several that are closest, the first and the last differ
     return probe.join(best.filter((F.col("_m") <= allowed) & unique).select(probe_col, F.col(f"_b.{value_col}").alias("nearest"), F.col("_m").alias("distance")), probe_col, "left")
 
 
+def staged_match(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str) -> DataFrame:
+    """probe with `matched` and `stage`: the value itself (exact), else its one completion, else its one nearest, else null."""
+    exact = catalog.select(F.col(value_col).alias(probe_col), F.lit(True).alias("_exact")).distinct()
+    out = unique_nearest(unique_completion(probe.join(exact, probe_col, "left"), catalog, probe_col, value_col), catalog, probe_col, value_col)
+    stage = F.when(F.col("_exact"), "exact").when(F.col("completion").isNotNull(), "completion").when(F.col("nearest").isNotNull(), "nearest")
+    matched = F.when(F.col("_exact"), F.col(probe_col)).otherwise(F.coalesce("completion", "nearest"))
+    return out.withColumns({"stage": stage, "matched": matched}).drop("_exact", "completion", "nearest", "distance")
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """key, change: added, removed or changed, by null-safe comparison of all other columns."""
     rest = [c for c in before.columns if c != key]
@@ -170,8 +180,8 @@ def veto_candidates(inventory: DataFrame, key: str, content: Sequence[str], done
 def quorum(votes: DataFrame, key: str, value: str, order: str, least: int = 2) -> DataFrame:
     """key, winner, n: the value with the most votes if it has `least` or more and no other as many; nulls don't vote."""
     counted = votes.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("_o"))
-    top = counted.groupBy(key).agg(F.max("n").alias("_top"), F.max_by(value, F.struct("n", "_o")).alias("_v"), F.sort_array(F.collect_list("n"), asc=False).alias("_all"))
-    alone = F.coalesce(F.get("_all", F.lit(1)) < F.col("_top"), F.lit(True))
+    top = counted.groupBy(key).agg(F.max("n").alias("_top"), F.max_by(value, F.struct("n", "_o", value)).alias("_v"), F.min_by(value, F.struct(-F.col("n"), "_o", value)).alias("_w"))
+    alone = F.col("_v").eqNullSafe(F.col("_w"))  # of several values with most votes, the last and the first differ
     won = (F.col("_top") >= least) & alone
     keys = votes.select(key).distinct()
     return keys.join(top, key, "left").select(key, F.when(won, F.col("_v")).alias("winner"), F.when(won, F.col("_top")).alias("n"))
@@ -206,6 +216,19 @@ def gap_check(rows: DataFrame, key: str, number: str, cap: int = 3) -> DataFrame
     return out.select(key, "distinct", "largest", gap.alias("gap"), F.least(F.lit(cap), F.greatest("distinct", "largest")).alias("floor"))
 
 
+def consumed_floor(calls: DataFrame, key: str, run: str, attempt: str, call: str, cap: int = 3) -> DataFrame:
+    """key, consumed, gap_runs: how many calls a key has used up at least, and in how many runs the attempts are not 1 to the last.
+
+    The largest of its distinct calls, of its largest attempt, and of the sum over its runs of the larger of the run's rows
+    and its largest attempt; at most `cap`.
+    """
+    runs = calls.groupBy(key, run).agg(F.count(F.lit(1)).alias("_n"), F.max(attempt).alias("_last"), F.min(attempt).alias("_least"), F.count_distinct(attempt).alias("_d"))
+    gap = (F.col("_least") != 1) | (F.col("_d") != F.col("_last"))
+    floors = runs.groupBy(key).agg(F.sum(F.greatest("_n", "_last")).alias("_sum"), F.max("_last").alias("_max"), F.count_if(gap).alias("gap_runs"))
+    distinct = calls.groupBy(key).agg(F.count_distinct(call).alias("_calls"))
+    return floors.join(distinct, key).select(key, F.least(F.lit(cap), F.greatest("_calls", "_sum", "_max")).cast("bigint").alias("consumed"), "gap_runs")
+
+
 # Windows ---------------------------------------------------------------------------------------------------------------
 
 
@@ -234,15 +257,37 @@ def last_three(rows: DataFrame, keys: Sequence[str], order: Sequence[str], least
     return kept.withColumn("_n", n).filter(F.col("_n") >= least).withColumn("attempt", least + 1 - F.col("_d")).drop("_d", "_n")
 
 
+def running_sum(rows: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """rows with `name`, the sum of `value` over all rows before in the given total order, without bringing them to one task.
+
+    Rows are dealt out by ranges of the order and written; each range goes on from the sum of those before it.
+    """
+    from veriframe.sources.readers import shared_folder
+
+    spark = rows.sparkSession
+    shared_folder(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))  # a row for each range
+    starts = sums.select("_range", F.coalesce(F.sum("_sum").over(before(Window.orderBy("_range"))), F.lit(0)).alias("_start"))
+    within = F.coalesce(F.sum(value).over(before(Window.partitionBy("_range").orderBy(*order))), F.lit(0))
+    return ranged.withColumn("_within", within).join(F.broadcast(starts), "_range").withColumn(name, F.col("_within") + F.col("_start")).drop("_range", "_within", "_start")
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """rows with `name`, 1, 2, ... in the given total order over all rows."""
+    return running_sum(rows.withColumn("_one", F.lit(1)), order, "_one", name).withColumn(name, F.col(name) + 1).drop("_one")
+
+
 def hash_split(rows: DataFrame, group: str, ratios: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
     """group, rows, split: whole groups, by the order of their hashes, to train, dev and holdout by cumulative share.
 
-    The window runs over groups, not rows.
+    The running sum is over groups, dealt out by ranges of their hashes.
     """
-    groups = rows.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
+    groups = rows.groupBy(group).agg(F.count(F.lit(1)).alias("rows")).withColumn("_hash", F.sha2(F.col(group).cast("string"), 256))
     total = groups.agg(F.sum("rows").alias("_all"))
-    before = F.coalesce(F.sum("rows").over(Window.orderBy(F.sha2(F.col(group).cast("string"), 256)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    share = groups.withColumn("_b", before).join(F.broadcast(total))  # one row
+    share = running_sum(groups, ["_hash", group], "rows", "_b").join(F.broadcast(total))  # one row
     split = F.when(F.col("_b") < ratios[0] * F.col("_all"), "train").when(F.col("_b") < (ratios[0] + ratios[1]) * F.col("_all"), "dev").otherwise("holdout")
     return share.select(group, "rows", split.alias("split"))
 
@@ -255,9 +300,16 @@ def stratified_sample(rows: DataFrame, stratum: str, parts: Sequence[str], n: in
 
 
 def rolling_distinct(rows: DataFrame, key: str, time: str, value: str, seconds: int, least: int) -> DataFrame:
-    """Rows at which `least` or more distinct values of the key came within the last `seconds`, with their number."""
-    span = Window.partitionBy(key).orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("distinct", F.size(F.collect_set(value).over(span))).filter(F.col("distinct") >= least)
+    """Rows at which `least` or more distinct values of the key came within the last `seconds`, with their number.
+
+    Time is cut into spans of that length and every row is filed under its own span and the next, so that a key's rows are
+    dealt out by span; only rows in their own span are asked for.
+    """
+    micros, length = F.unix_micros(F.col(time).cast("timestamp")), seconds * 1_000_000
+    filed = rows.withColumns({"_t": micros, "_own": F.floor(micros / length)}).withColumn("_span", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    back = Window.partitionBy(key, "_span").orderBy("_t").rangeBetween(-length, 0)
+    counted = filed.withColumn("distinct", F.size(F.collect_set(value).over(back)))
+    return counted.filter((F.col("_span") == F.col("_own")) & (F.col("distinct") >= least)).drop("_t", "_own", "_span")
 
 
 def bounded_counter(rows: DataFrame, key: str, order: Sequence[str], cap: int = 3) -> DataFrame:
@@ -282,6 +334,28 @@ def sequence_total(rows: DataFrame, key: str, order: Sequence[str], number: str)
     return segments.groupBy(key).agg(F.sum("_m").alias("total"))
 
 
+def sequence_restored(rows: DataFrame, key: str, order: Sequence[str], number: str) -> DataFrame:
+    """key, total: as sequence_total, but after the first fall a number above the total so far is taken as a total itself.
+
+    A fold over one key's numbers in order; null numbers and those below 1 are passed over.
+    """
+    kept = rows.filter(F.col(number) > 0).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(number).cast("bigint").alias("_n")))).alias("_all"))
+    start = F.struct(*[F.lit(0).cast("bigint").alias(x) for x in ("total", "base", "highest", "last")])
+
+    def step(a, row):
+        n = row["_n"]
+        fell = (a["last"] > 0) & (n < a["last"])
+        base, highest = F.when(fell, a["total"]).otherwise(a["base"]), F.when(fell, F.lit(0)).otherwise(a["highest"])
+        adopt = (base > 0) & (n > a["total"])
+        top = F.greatest(highest, n)
+        return F.struct(
+            F.when(adopt, n).otherwise(F.greatest(a["total"], base + top)).alias("total"), F.when(adopt, F.lit(0).cast("bigint")).otherwise(base).alias("base"),
+            F.when(adopt, n).otherwise(top).cast("bigint").alias("highest"), n.alias("last"),
+        )
+
+    return kept.select(key, F.aggregate("_all", start, step)["total"].alias("total"))
+
+
 def numbered_names(rows: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
     """rows with `target`: the name, and from its second taker on with `_2`, `_3` and so on."""
     n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(*order))

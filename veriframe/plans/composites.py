@@ -20,11 +20,11 @@ def decide(passes: DataFrame, key: str, attempt: str, reasons: str, most: int =
     A distant view at the last attempt is verified only if all earlier views of the key are distant as well.
     """
     before = Window.partitionBy(key).orderBy(attempt).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.collect_list(view).over(before)
+    far = F.coalesce(F.bool_and(F.col(view) == distant).over(before), F.lit(True))
     has = F.size(reasons) > 0
-    mixed = (F.col(view) == distant) & (F.col(attempt) >= most) & ~F.forall(F.col("_earlier"), lambda v: v == distant)
+    mixed = (F.col(view) == distant) & (F.col(attempt) >= most) & ~F.col("_far")
     decision = F.when(has & (F.col(attempt) < most), "retry").when(has | mixed, "unresolved").otherwise("verified")
-    return passes.withColumn("_earlier", earlier).withColumn("decision", decision).drop("_earlier")
+    return passes.withColumn("_far", far).withColumn("decision", decision).drop("_far")
 
 
 def disagreements(passes: DataFrame, key: str, attempt: str, model: str, price: str, owned: Column | None = None, bound: Column | None = None) -> DataFrame:
@@ -32,15 +32,17 @@ def disagreements(passes: DataFrame, key: str, attempt: str, model: str, price:
 
     owned: passes whose models count, as the current or an earlier one; bound: earlier passes whose prices count. All do if left out.
     """
-    before = Window.partitionBy(key).orderBy(attempt).rowsBetween(Window.unboundedPreceding, -1)
     yes = F.lit(True)
-    counts, priced = F.coalesce(yes if owned is None else owned, F.lit(False)), F.coalesce(yes if bound is None else bound, F.lit(False))
-    digits = T.digits_int(F.col(price))
-    earlier = F.collect_list(F.struct(F.col(model).alias("m"), digits.alias("p"), counts.alias("owned"), priced.alias("bound"))).over(before)
-    models = F.transform(F.filter("_earlier", lambda e: e["owned"] & e["m"].isNotNull()), lambda e: e["m"])
-    moved = counts & (F.size(models) > 0) & ~F.array_contains(models, F.col(model))
-    repriced = F.exists("_earlier", lambda e: e["bound"] & F.coalesce((e["m"] == F.col(model)) & (e["p"] != digits), F.lit(False)))
-    return passes.withColumn("_earlier", earlier).withColumn("disagrees", F.coalesce(moved, F.lit(False)) | repriced).drop("_earlier")
+    marked = passes.withColumns({"_digits": T.digits_int(F.col(price)), "_owned": F.coalesce(yes if owned is None else owned, F.lit(False)), "_bound": F.coalesce(yes if bound is None else bound, F.lit(False))})
+
+    def earlier(condition: Column, *same: str) -> Column:
+        before = Window.partitionBy(key, *same).orderBy(attempt).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(condition.cast("int")).over(before), F.lit(0))
+
+    known, priced = F.col(model).isNotNull(), F.col("_bound") & F.col("_digits").isNotNull()
+    moved = F.col("_owned") & known & (earlier(F.col("_owned") & known) > 0) & (earlier(F.col("_owned"), model) == 0)
+    repriced = known & F.col("_digits").isNotNull() & (earlier(priced, model) > earlier(priced, model, "_digits"))
+    return marked.withColumn("disagrees", moved | repriced).drop("_digits", "_owned", "_bound")
 
 
 def eligible(passes: DataFrame, flags: list[str], health: str, allowed: list[str]) -> DataFrame:
@@ -66,6 +68,31 @@ def electorate(votes: DataFrame, key: str, safe: Column, first: str, second: str
     return joined.select(key, F.when(~few, F.col(first)).alias(first), F.when(~few, F.col(second)).alias(second), F.when(few, "ambiguous").otherwise("owned").alias("ownership"))
 
 
+def repeated_pair_veto(votes: DataFrame, key: str, first: str, second: str, matched: Column, safe: Column, least: int = 2) -> DataFrame:
+    """key, veto: some pair has `least` matched votes or more, but fewer of these are safe. Votes without either value don't count."""
+    counts = F.coalesce(matched, F.lit(False)) & T.present(F.col(first).cast("string")) & T.present(F.col(second).cast("string"))
+    pairs = votes.groupBy(key, first, second).agg(F.count_if(counts).alias("_all"), F.count_if(counts & F.coalesce(safe, F.lit(False))).alias("_safe"))
+    return pairs.groupBy(key).agg(F.bool_or((F.col("_all") >= least) & (F.col("_safe") < least)).alias("veto"))
+
+
+def reconcile_counts(votes: DataFrame, key: str, count: str, distant: Column, nothing: Column, more: Column, one: Column, least: int = 3) -> DataFrame:
+    """key, reconciled: how many objects the supporting votes agree on.
+
+    distant, a condition that holds for all votes of a key or none: 0 where `nothing` does, too, else the least count, but
+    `least` at least. Of other keys, two votes for `more` make it the largest count, `least` at least; else two for `one`
+    make it 1; else it stays open (null).
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    far, none = F.bool_and(yes(distant)), F.bool_and(yes(nothing))
+    value = (
+        F.when(far & none, 0)
+        .when(far, F.greatest(F.lit(least), F.coalesce(F.min(count), F.lit(least))))
+        .when(F.count_if(yes(more)) >= 2, F.greatest(F.lit(least), F.coalesce(F.max(count), F.lit(least))))
+        .when(F.count_if(yes(one)) >= 2, 1)
+    )
+    return votes.groupBy(key).agg(value.alias("reconciled"))
+
+
 def first_evidence(passes: DataFrame, key: str, attempt: str, evidence: str) -> DataFrame:
     """key, evidence: of an array of structs with a cue, the first of each cue over all passes, by cue."""
     rows = passes.select(key, attempt, F.explode(evidence).alias("e")).withColumn("cue", F.col("e.cue"))

@@ -66,8 +66,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 
 
 def read_json_or_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An array of objects or JSON Lines, told apart by the first character."""
-    head = spark.read.text(path, wholetext=True).select(F.ltrim(F.substring("value", 1, 200)).startswith("[").alias("a")).first()
+    """An array of objects or JSON Lines, told apart by the first character that is no white space."""
+    head = spark.read.text(path).select(F.regexp_extract("value", r"\S", 0).alias("c")).filter("c <> ''").select((F.col("c") == "[").alias("a")).first()
     return spark.read.schema(schema).json(path, multiLine=bool(head and head["a"]), mode="FAILFAST")
 
 

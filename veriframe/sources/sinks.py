@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriframe.operators import relational as R
+
 
 def fixed_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns in this order as text: nested ones as JSON, absent and null ones empty, all others dropped."""
@@ -56,18 +58,29 @@ def write_events(df: DataFrame, path: str, time: str, rows_per_file: int = 1_000
 def indexed_upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """old (with `index`) and new: known keys are replaced and keep their index, others go on after the largest.
 
-    The numbering runs over the new rows only, in one window, as the index is one sequence.
+    The numbering runs over the new rows only, dealt out by ranges of their order.
     """
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
     latest = new.withColumn("_r", rank).filter("_r = 1").drop("_r")
     replaced = latest.join(old.select(*keys, "index"), keys)
     added = latest.join(old.select(*keys), keys, "left_anti")
     top = old.agg(F.coalesce(F.max("index"), F.lit(0)).alias("_top"))
-    added = added.withColumn("_n", F.row_number().over(Window.orderBy(*order, *keys))).join(F.broadcast(top)).withColumn("index", F.col("_n") + F.col("_top")).drop("_n", "_top")
+    added = R.numbered(added, [*order, *keys], "_n").join(F.broadcast(top)).withColumn("index", F.col("_n") + F.col("_top")).drop("_n", "_top")
     kept = old.join(latest.select(*keys), keys, "left_anti")
     return kept.unionByName(replaced.select(*kept.columns)).unionByName(added.select(*kept.columns))
 
 
+def summary_json(df: DataFrame, counters: dict[str, Column]) -> DataFrame:
+    """One row, `value`: the aggregates as one JSON object, in the order given."""
+    return df.agg(F.to_json(F.struct(*[c.alias(name) for name, c in counters.items()])).alias("value"))
+
+
+def trace_rows(df: DataFrame, texts: dict[str, int], lists: dict[str, int], dropped: list[str] = ()) -> DataFrame:
+    """df with texts cut to so many characters and lists to so many members, for a trace; heavy columns dropped."""
+    short = {c: F.substring(c, 1, n) for c, n in texts.items()} | {c: F.slice(c, 1, n) for c, n in lists.items()}
+    return df.drop(*dropped).withColumns(short)
+
+
 def annotation_tasks(df: DataFrame, image: str, choices: list[str], texts: list[str]) -> DataFrame:
     """Rows as annotation task JSON, one text a row."""
     tag = lambda name, kind: F.struct(F.lit(name).alias("from_name"), F.struct(F.array(F.col(name).cast("string")).alias(kind)).alias("value"))
