@@ -190,7 +190,12 @@ def q62(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(D.judge_fields({"event_type": F.col("event_type")}, wanted), ";").alias("failed"))
 
 
-@query("q63_fallback_fields")
+@query(
+    "q63_fallback_fields",
+    """WITH t AS (SELECT page_id, regexp_extract_all(upper(replace(html, 'ß', 'ss')), '[A-Z][A-Z0-9]{7,}') AS tok, list_filter(regexp_extract_all(html, '[0-9]+'), lambda x: length(x) IN (4, 5) AND x[1] <> '0') AS p FROM pages),
+       m AS (SELECT *, list_max(list_transform(tok, lambda x: length(x))) AS longest, list_max(list_transform(p, lambda x: len(list_filter(p, lambda y: y = x)))) AS most FROM t)
+       SELECT page_id, CASE WHEN list_contains(tok, 'EXAMPLE1') THEN 'EXAMPLE1' ELSE list_filter(tok, lambda x: length(x) = longest)[1] END AS model, list_filter(p, lambda x: len(list_filter(p, lambda y: y = x)) = most)[1] AS price, true AS requires_retry FROM m""",
+)
 def q63(spark, sf):
     """Untrusted fields from free text; the tie rules are tested on small cases."""
     return table(spark, sf, "pages").select("page_id", D.fallback_fields(F.col("html"), ["EXAMPLE1"]).alias("f")).select("page_id", "f.*")
