@@ -4,9 +4,9 @@ Copies with the same set of shingles are one class from the start. Signatures of
 share a band's values meet in a bucket. A bucket first proposes its smallest class to all others, which links large groups
 of near copies with as many pairs as members; the links are confirmed on the full sets and the groups joined. Texts of buckets
 that stay apart meet again if they share one of their rarest shingles, as all links do but a shared passage does not.
-Those that meet are compared with one leader; members still apart can only be linked if they differ from the leader in the
-same shingles, and every pair that may do so is confirmed or refuted (see differing). So no link between different texts of
-one bucket is lost however large the bucket. Groups grow by repeated exchange of smallest members (large star, small star).
+Those that meet are compared with a few leaders, near the group's middle; members still apart can only be linked if they
+differ from the middle in the same shingles, and every pair that may do so is confirmed or refuted (see differing). So no link
+between different texts of one bucket is lost however large the bucket. Groups grow by repeated exchange of smallest members (large star, small star).
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ SHINGLE = 5
 SLOTS = 127
 #: Chance, at most, that two texts just at the threshold share no bucket.
 MISS = 1e-6
+#: Members of a group that all others are compared with.
+LEADERS = 6
 #: Bytes of text that are shingled at once.
 BLOCK = 4 << 20
 
@@ -161,23 +163,21 @@ def components(links: DataFrame) -> DataFrame:
     Every round hangs each node's larger neighbours onto its smallest one, then each node and its smaller neighbours
     onto the smallest of these, until nothing changes. Hubs are joined to, not collected.
     """
+    way = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(F.array(way("u", "v"), way("v", "u"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        large = cut(large)
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        small = cut(small)
+        edges = cut(small)
         # Done when no node has two parents and no parent has one of its own.
-        nested = small.join(small.select(F.col("u").alias("v")), "v", "left_semi")
-        several = small.groupBy("u").count().filter("count > 1")
-        if nested.isEmpty() and several.isEmpty():
+        roles = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        counts = edges.select(F.inline(roles)).groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        if counts.filter("child + parent > 1 and child > 0").isEmpty():
             break
-        edges = small
-    nodes = small.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return cut(nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct()))
+    return cut(edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component"))))).distinct())
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -203,36 +203,57 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
     return rows.join(known, "key").withColumn("rank", rank).filter((F.col("rank") <= first) & (F.col("f") > 1)).select("key", "id", "n")
 
 
-def differing(tops: DataFrame, sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one leader's members that may be linked and lie in different components.
+def spread(tops: DataFrame, sets: DataFrame) -> DataFrame:
+    """top, id, n, m, delta: how the set of each member of a group (id, top) differs from the group's middle, of size m.
 
-    tops has id and top, its leader; every member must have been compared with its leader, and joined must hold those links.
-    Let D be the symmetric difference of a set and its leader's, and r = (100 - percent) / (100 + percent). Sets x and y are
-    linked if |Dx| + |Dy| - 2 |Dx & Dy| <= r (|x| + |y|). If |Dx| + |Dy| alone is as small as that, both are linked with the
-    leader and lie in one component. All other linked pairs share elements of D, at least (|Dx| + |Dy| - r (|x| + |y|)) / 2 of
-    them, and so one of the first in an order common to all: those that one component only has, then the rarest. A text's
-    own edits come first there, and what the whole group shares is in no D, so members meet only where they share edits.
-    The side of larger D probes: it shares e / (1 + r) elements at least, e = |D| - r (|x| + |leader|); the other side shares
-    |D| - r (|D| + |y| + |leader|) / 2 at least, as the partner's D is no smaller. One element is the least in either case.
+    The middle holds what more than half of the members have. It is no larger than twice the mean set. What the whole group
+    shares is in no delta, and neither are the edits of any one member in those of the others.
     """
+    held = cut(sets.join(tops, "id").select("id", "top", "shingles"))
+    sizes = held.groupBy("top").agg(F.count(F.lit(1)).alias("c"))
+    counts = held.select("top", F.explode("shingles").alias("key")).groupBy("top", "key").agg(F.count(F.lit(1)).alias("f"))
+    middles = counts.join(sizes, "top").filter(2 * F.col("f") > F.col("c")).groupBy("top").agg(F.collect_list("key").alias("middle"))
+    middle = F.coalesce("middle", F.array().cast("array<bigint>"))
+    delta = F.concat(F.array_except("shingles", middle), F.array_except(middle, "shingles"))
+    return cut(held.join(middles, "top", "left").select("top", "id", F.size("shingles").alias("n"), F.size(middle).alias("m"), delta.alias("delta")))
+
+
+def leading(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each group's LEADERS members nearest to its middle, by |delta| - r |set|, with all other members."""
     r = (100 - percent) / (100 + percent)
-    held = sets.join(tops, "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "top", "shingles", F.coalesce("component", "id").alias("component"))
-    leaders = sets.select(F.col("id").alias("top"), F.col("shingles").alias("led"))
-    apart = held.join(leaders, "top").select(
-        "top", "id", "component", F.size("shingles").alias("n"), F.size("led").alias("m"), F.concat(F.array_except("shingles", "led"), F.array_except("led", "shingles")).alias("delta")
-    )
-    rows = cut(apart.select("top", "id", "component", "n", "m", F.size("delta").alias("d"), F.explode("delta").alias("key")))
+    near = F.row_number().over(Window.partitionBy("top").orderBy(F.size("delta") - r * F.col("n"), "id"))
+    leaders = apart.withColumn("rank", near).filter(F.col("rank") <= LEADERS).select("top", F.col("id").alias("leader"))
+    return apart.select("top", "id").join(leaders, "top").filter("id != leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
+
+
+def differing(apart: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one group's members that may be linked and lie in different components.
+
+    apart is what spread gives; every member must have been compared with the first of the leading ones, and joined must
+    hold those links. Let D be a set's delta and r = (100 - percent) / (100 + percent). Sets x and y are linked if
+    |Dx| + |Dy| - 2 |Dx & Dy| <= r (|x| + |y|). If |Dx| + |Dy| alone is as small as that, it is for x and for y with the first
+    leader in the other's place, too, as no member has a smaller |D| - r |set|: both are linked with that leader and lie in
+    one component. All other linked pairs share elements of D, at least (|Dx| + |Dy| - r (|x| + |y|)) / 2 of them, and so
+    one of the first in an order common to all: those that one component only has, then the rarest. A text's own edits come
+    first there, so members meet only where they share edits. The side of larger D probes: with e = |D| - r (|x| + |middle|)
+    it shares e / (1 + r) elements at least; the other side shares |D| - r (|D| + |y| + |middle|) / 2 at least, as the
+    partner's D is no smaller. One element is the least in either case.
+    """
+    r = (100 - percent) / (100 + percent)
+    placed = apart.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = cut(placed.select("top", "id", "component", "n", "m", F.size("delta").alias("d"), F.explode("delta").alias("key")))
     known = rows.groupBy("top", "key").agg(F.count(F.lit(1)).alias("f"), (F.min("component") < F.max("component")).alias("met"))
-    own = Window.partitionBy("id")
-    ranked = rows.join(known, ["top", "key"]).withColumns({"rank": F.row_number().over(own.orderBy("met", "f", "key")), "shared": F.sum(F.col("met").cast("int")).over(own)})
+    ranked = rows.join(known, ["top", "key"]).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("met", "f", "key")))
     # A little slack keeps rounding from losing a pair.
     probes = F.greatest(F.lit(1), F.ceil((F.col("d") - r * (F.col("n") + F.col("m"))) / (1 + r) - 1e-6))
     listed = F.greatest(F.lit(1), F.ceil(F.col("d") - r * (F.col("d") + F.col("n") + F.col("m")) / 2 - 1e-6))
     ranked = cut(ranked.filter("met").withColumns({"probes": F.col("rank") <= F.col("d") - probes + 1, "listed": F.col("rank") <= F.col("d") - listed + 1}).filter("probes or listed"))
-    x = ranked.filter("probes").select("top", "key", F.col("id").alias("x"), "n", "d", "shared", "component")
-    y = ranked.filter("listed").select("top", "key", F.col("id").alias("y"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("shared").alias("shared2"), F.col("component").alias("component2"))
+    x = ranked.filter("probes").select("top", "key", F.col("id").alias("x"), "n", "d", "rank", "component")
+    y = ranked.filter("listed").select("top", "key", F.col("id").alias("y"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("rank").alias("rank2"), F.col("component").alias("component2"))
     larger = (F.col("d2") < F.col("d")) | ((F.col("d2") == F.col("d")) & (F.col("y") < F.col("x")))
-    enough = 2 * F.least("shared", "shared2") + 1e-6 >= F.col("d") + F.col("d2") - r * (F.col("n") + F.col("n2"))
+    # Where two first meet, they can share this element and what comes behind it in both.
+    most = 1 + F.least(F.col("d") - F.col("rank"), F.col("d2") - F.col("rank2"))
+    enough = 2 * most + 1e-6 >= F.col("d") + F.col("d2") - r * (F.col("n") + F.col("n2"))
     met = x.join(y, ["top", "key"]).filter((F.col("component") != F.col("component2")) & larger & enough)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -297,23 +318,28 @@ def group(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
         members = cut(rarest(sets.join(place.select("id").distinct(), "id", "left_semi"), percent))
         place, apart = _apart(members, joined)
 
-    # What is apart even so is compared with one leader, and then by how it differs from that leader.
+    # What is apart even so is compared with a few leaders, and then by how it differs from the group's middle.
     if apart:
         hubs = place.join(place.groupBy("key").agg(F.min("id").alias("hub")), "key").filter("id != hub")
         tops = components(hubs.select(F.col("hub").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("top"))
-        led = tops.filter("id != top").select(F.col("top").alias("a"), F.col("id").alias("b")).join(first, ["a", "b"], "left_anti")
-        links = cut(links.unionByName(confirmed(led, sets, percent)))
-        second = differing(tops, sets, components(links), percent).join(first, ["a", "b"], "left_anti")
-        links = links.unionByName(confirmed(cut(second), sets, percent))
+        deltas = spread(tops, sets)
+        links = cut(links.unionByName(confirmed(leading(deltas, percent).join(first, ["a", "b"], "left_anti"), sets, percent)))
+        joined = components(links)
+        more = confirmed(cut(differing(deltas, joined, percent).join(first, ["a", "b"], "left_anti")), sets, percent)
+    else:
+        more = links.limit(0)
+
     # A document with several texts links their classes.
     several = owned.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("doc", "a")
     one = owned.join(several, "doc").filter("id != a").select("a", F.col("id").alias("b"))
-    joined = components(links.unionByName(one))
+    more = cut(more.unionByName(one))
+    if not more.isEmpty():
+        joined = components(links.unionByName(more))
 
     whole = classes.select("id", "least").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "least", F.coalesce("component", "id").alias("component"))
     smallest = cut(whole.groupBy("component").agg(F.min("least").alias("component_id")))
-    named_classes = whole.join(smallest, "component").select("id", "component_id").filter("component_id is not null")
-    placed = cut(owned.join(named_classes, "id").select("doc", "component_id").distinct())
+    named_classes = whole.join(smallest, "component").select("id", "component_id")
+    placed = owned.join(named_classes, "id").select("doc", "component_id").distinct()
     component = F.coalesce("component_id", "id")
     return sketched.join(placed, sketched["id"] == placed["doc"], "left").select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.hex("digest").alias("digest")
