@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import cut
+from veriframe.llm.common import cut, partitions
 
 SHINGLE = 5
 #: Slots of a signature. A prime, so that multiplication by anything but 0 permutes the slots.
@@ -161,17 +161,20 @@ def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node that each node of links (a, b) can reach; nodes without links have no row.
 
     Every round hangs each node's larger neighbours onto its smallest one, then each node and its smaller neighbours
-    onto the smallest of these, until nothing changes. Hubs are joined to, not collected.
+    onto the smallest of these, until nothing changes. Hubs are joined to, not collected. Shuffle partitions are sized for
+    texts; edges are two numbers each, so an eighth as many tasks hold them.
     """
+    parts = partitions(links.sparkSession)
+    few = min(parts, max(8, parts // 8))
     way = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct().coalesce(few))
     while True:
         both = edges.select(F.inline(F.array(way("u", "v"), way("v", "u"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").coalesce(few)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        edges = cut(small)
+        small = large.join(low, "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).filter("u > v")
+        edges = cut(small.coalesce(few).distinct().coalesce(few))
         # Done when no node has two parents and no parent has one of its own.
         roles = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
         counts = edges.select(F.inline(roles)).groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
@@ -258,14 +261,12 @@ def differing(apart: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _apart(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, int]:
-    """The members of groups (of one key) that hold several components, with these, and how many pairs are apart."""
+def _apart(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, bool]:
+    """The members of groups (of one key) that hold several components, and whether there are any."""
     place = members.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    counts = place.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
-    open_keys = counts.filter("own < all * all").select("key", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"))
+    open_keys = place.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other").select("key")
     place = cut(place.join(open_keys, "key"))
-    total = place.groupBy("key").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0]
-    return place, int(total or 0)
+    return place, not place.isEmpty()
 
 
 def classes_of(real: DataFrame) -> tuple[DataFrame, DataFrame]:
