@@ -36,3 +36,33 @@ def test_evidence(spark):
     assert [(x["cue"], x["strength"]) for x in got] == [("a", "strong"), ("b", "weak")]
     assert first(spark, D.evidence_errors(F.col("e"), ["a", "b"]), e=e) == ["invalid_cue:z", "duplicate_cue"]
     assert first(spark, D.sufficient_evidence(F.col("e"), 3), e=e) is True and first(spark, D.sufficient_evidence(F.col("e"), 4), e=e) is False
+
+
+def test_merge_objects_fails_closed(spark):
+    def merged(*objects):
+        found = F.array(*map(F.lit, objects)).cast("array<string>")
+        r = first(spark, D.merge_objects(found, ["model", "price"], ["cue"], ["note"]))
+        return r["mode"], r["reason"], r["merged"]
+
+    assert merged() == ("none", "no_valid_json_object", None)
+    assert merged('{"model":"A","evidence":{"cue":"x"}}') == ("single_object", "", {"model": "A", "cue": "x"})
+    assert merged('{"evidence":{"zoo":1,"ape":2}}')[:2] == ("rejected", "evidence_container_unknown_keys:ape,zoo")
+    assert merged('{"cue":"a","evidence":{"cue":"x"}}')[:2] == ("rejected", "duplicate_nested_evidence_keys:cue")
+    assert merged('{"evidence":[1]}')[:2] == ("rejected", "evidence_container_not_object")
+    assert merged('{"note":"n"}', '{"price":5}') == ("disjoint_core_evidence", "", {"price": "5", "note": "n"})
+    assert merged('{"price":5}', "{}")[:2] == ("rejected", "multiple_core_or_unknown_object")
+    assert merged('{"price":5}', '{"zoo":1}')[:2] == ("rejected", "evidence_object_has_unknown_keys")
+    assert merged('{"price":5,"cue":"a"}', '{"cue":"a"}')[:2] == ("rejected", "duplicate_core_evidence_keys")
+
+
+def test_shape_error(spark):
+    kinds = {"id": ["STRING"], "n": ["BIGINT", "VOID"], "ok": ["BOOLEAN"]}
+    error = lambda text, expected="7": first(spark, D.shape_error(F.lit(text), kinds, "id", F.lit(expected)))
+    assert error('{"id":" 7 ","n":null,"ok":true}') == ""
+    assert error("[1]") == error("{broken") == error(None) == "not_object"
+    assert error('{"n":1}') == "missing:id,ok"
+    assert error('{"id":"7","n":1,"ok":true,"b":1,"a":2}') == "extra:a,b"
+    assert error('{"id":"","n":1,"ok":true}') == "id_missing"
+    assert error('{"id":"8","n":1,"ok":true}') == "id_mismatch"
+    assert error('{"id":"7","n":true,"ok":true}') == "n_invalid"
+    assert error('{"id":"7","n":1,"ok":null}') == "ok_invalid"

@@ -85,6 +85,73 @@ def last_json_line(c: Column) -> Column:
     return F.try_element_at(F.filter(lines, lambda x: F.json_object_keys(x).isNotNull()), F.lit(-1))
 
 
+def merge_objects(found: Column, core: list[str], evidence: list[str], other: list[str], container: str = "evidence") -> Column:
+    """One object of the JSON objects of an answer, as mode, reason and merged (values as texts); what is unclear is rejected.
+
+    single_object: one object, whose `container`, if there, is taken apart; disjoint_core_evidence: one with core keys and at
+    most one without, which share no key. Otherwise the mode is none or rejected, the reason says why, and merged is null.
+    found: an array of JSON texts of objects without repeated keys, as `extract_json_objects` gives them.
+    """
+    texts = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    parsed = lambda c: F.from_json(c, "map<string,string>")
+    listed = lambda label, names: F.concat(F.lit(label), F.array_join(F.array_sort(names), ","))
+    some = lambda names: F.size(names) > 0
+    over = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+    nothing = F.create_map().cast("map<string,string>")
+    maps = F.filter(F.transform(found, parsed), lambda m: m.isNotNull())
+
+    one = F.get(maps, F.lit(0))
+    holds = F.coalesce(F.array_contains(F.map_keys(one), container), F.lit(False))
+    inner, outer = parsed(F.try_element_at(one, F.lit(container))), F.map_filter(one, lambda k, _: k != container)
+    inner_keys, outer_keys = F.map_keys(F.coalesce(inner, nothing)), F.map_keys(outer)
+    strange = F.array_except(inner_keys, texts(evidence))
+    twice = F.array_intersect(outer_keys, inner_keys)
+    unknown = F.array_except(outer_keys, texts([*core, *evidence, *other]))
+    single = (
+        F.when(holds & inner.isNull(), "evidence_container_not_object")
+        .when(some(strange), listed("evidence_container_unknown_keys:", strange))
+        .when(some(twice), listed("duplicate_nested_evidence_keys:", twice))
+        .when(some(unknown), listed("unknown_keys:", unknown))
+    )
+
+    has_core = lambda m: F.arrays_overlap(F.map_keys(m), texts(core))
+    cores, rest = F.filter(maps, has_core), F.filter(maps, lambda m: ~has_core(m))
+    main, extra = F.get(cores, F.lit(0)), F.coalesce(F.get(rest, F.lit(0)), nothing)
+    clear = (F.size(cores) == 1) & (F.size(rest) <= 1) & ~F.exists(rest, lambda m: F.size(m) == 0)
+    several = (
+        F.when(~clear, "multiple_core_or_unknown_object")
+        .when(some(F.array_except(F.map_keys(extra), texts([*evidence, *other]))), "evidence_object_has_unknown_keys")
+        .when(F.arrays_overlap(F.map_keys(main), F.map_keys(extra)), "duplicate_core_evidence_keys")
+    )
+
+    n = F.coalesce(F.size(maps), F.lit(0))
+    none, alone = n <= 0, n == 1
+    reason = F.when(none, "no_valid_json_object").when(alone, single).otherwise(several)
+    mode = F.when(none, "none").when(reason.isNotNull(), "rejected").when(alone, "single_object").otherwise("disjoint_core_evidence")
+    merged = F.when(reason.isNull(), F.when(alone, over(outer, F.coalesce(inner, nothing))).otherwise(over(main, extra)))
+    return F.struct(mode.alias("mode"), F.coalesce(reason, F.lit("")).alias("reason"), merged.alias("merged"))
+
+
+def shape_error(c: Column, types: dict[str, list[str]], id_key: str, expected: Column) -> Column:
+    """The first error of a JSON answer, else an empty text: no object, keys missing or extra, another id, a value's type.
+
+    types: for each required key the variant types that its value may have (STRING, BIGINT, DOUBLE, DECIMAL, BOOLEAN, ARRAY,
+    OBJECT, or VOID for null). The id is compared as text without white space around it; an empty one is missing.
+    """
+    keys = F.json_object_keys(c)
+    names = F.array(*map(F.lit, types)).cast("array<string>")
+    missing, extra = F.array_sort(F.array_except(names, keys)), F.array_sort(F.array_except(keys, names))
+    given = F.trim(F.coalesce(F.get_json_object(c, f"$.{id_key}"), F.lit("")))
+    value = F.try_parse_json(c)
+    error = F.when(keys.isNull() | value.isNull(), "not_object").when(F.size(missing) > 0, F.concat(F.lit("missing:"), F.array_join(missing, ",")))
+    error = error.when(F.size(extra) > 0, F.concat(F.lit("extra:"), F.array_join(extra, ","))).when(given == "", f"{id_key}_missing")
+    error = error.when(~given.eqNullSafe(F.trim(expected)), f"{id_key}_mismatch")
+    for key, allowed in types.items():
+        kind = F.regexp_extract(F.schema_of_variant(F.try_variant_get(value, f"$.{key}", "variant")), "^[A-Z]+", 0)
+        error = error.when(~F.coalesce(kind.isin(*allowed), F.lit(False)), f"{key}_invalid")
+    return error.otherwise("")
+
+
 def judge_fields(actual: dict[str, Column], expected: dict[str, Column]) -> Column:
     """Names of the fields whose value is not what was expected; a null expectation asks for nothing."""
     return T.add_if(*[(expected[f].isNotNull() & ~expected[f].eqNullSafe(actual[f]), f) for f in expected])

@@ -565,3 +565,46 @@ def q135(spark, sf):
     retry, dead = jobs.split_failures(moved, F.concat(F.lit("an "), F.upper("event_type")), ["Error", "view"])
     out = retry.select(F.lit("retry").alias("kind"), F.col("retry_not_before").cast("int").alias("wait")).unionByName(dead.select(F.lit("dead").alias("kind"), F.lit(None).cast("int").alias("wait")))
     return out.groupBy("kind", "wait").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "q136_merge_objects",
+    """SELECT event_id, CASE user_id % 8 WHEN 0 THEN 'none' WHEN 1 THEN 'single_object' WHEN 2 THEN 'single_object' WHEN 3 THEN 'disjoint_core_evidence' ELSE 'rejected' END AS mode,
+         CASE user_id % 8 WHEN 0 THEN 'no_valid_json_object' WHEN 4 THEN 'duplicate_core_evidence_keys' WHEN 5 THEN 'multiple_core_or_unknown_object' WHEN 6 THEN 'unknown_keys:zip'
+              WHEN 7 THEN 'evidence_container_not_object' ELSE '' END AS reason,
+         CASE WHEN user_id % 8 IN (1, 2, 3) THEN json_extract_string(props, '$.k') END AS k, CASE WHEN user_id % 8 IN (2, 3) THEN event_type END AS cue FROM events""",
+)
+def q136(spark, sf):
+    """Objects of a prose around props, merged or rejected."""
+    from veriframe.functions.python_udfs import extract_json_objects
+
+    cue = F.concat(F.lit('"cue":"'), "event_type", F.lit('"'))
+    prose = {
+        0: F.lit("nothing {here}"),
+        1: F.concat(F.lit("so: "), "props"),
+        2: F.concat(F.rtrim(F.col("props"), F.lit("}")), F.lit(', "evidence": {'), cue, F.lit("}}")),
+        3: F.concat(F.col("props"), F.lit(" and {"), cue, F.lit("} end")),
+        4: F.concat(F.rtrim(F.col("props"), F.lit("}")), F.lit(","), cue, F.lit("} {"), cue, F.lit("}")),
+        5: F.concat("props", "props"),
+        6: F.concat(F.rtrim(F.col("props"), F.lit("}")), F.lit(', "zip": 1}')),
+        7: F.concat(F.rtrim(F.col("props"), F.lit("}")), F.lit(', "evidence": null}')),
+    }
+    text = F.coalesce(*[F.when(F.col("user_id") % 8 == i, c) for i, c in prose.items()])
+    found = table(spark, sf, "events").select("event_id", extract_json_objects(text).alias("found"))
+    one = D.merge_objects(F.col("found"), ["k"], ["cue"], ["note"])
+    return found.select("event_id", one.alias("one")).select("event_id", "one.mode", "one.reason", F.try_element_at("one.merged", F.lit("k")).alias("k"), F.try_element_at("one.merged", F.lit("cue")).alias("cue"))
+
+
+@query(
+    "q137_answer_shape",
+    """SELECT event_id, CASE user_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'id_mismatch' WHEN 2 THEN 'k_invalid' WHEN 3 THEN 'missing:k' ELSE 'extra:more' END AS error FROM events""",
+)
+def q137(spark, sf):
+    """The first error of answers made of props, which must have a number k and the event's id."""
+    case, number = F.col("user_id") % 5, F.get_json_object("props", "$.k")
+    answer = F.concat(
+        F.lit('{"id":"'), (F.col("event_id") + F.when(case == 1, 1).otherwise(0)).cast("string"), F.lit('"'),
+        F.when(case == 2, F.concat(F.lit(',"k":"'), number, F.lit('"'))).when(case == 3, "").otherwise(F.concat(F.lit(',"k":'), number)),
+        F.when(case == 4, ',"more":[]').otherwise(""), F.lit("}"),
+    )
+    return table(spark, sf, "events").select("event_id", D.shape_error(answer, {"id": ["STRING"], "k": ["BIGINT"]}, "id", F.col("event_id").cast("string")).alias("error"))
