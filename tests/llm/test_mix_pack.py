@@ -117,3 +117,25 @@ def test_ids_are_the_tokenizer_s_own():
     texts += ["<|endoftext|>", "a<|startoftext|>b", "", "I'LL we're 'tis", "ªºµ ­"]
     for text, ids in zip(texts, quick.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_tokens_of_another_tokenizer(tmp_path):
+    """A tokenizer that keeps case and knows whole words only encodes whole texts."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"Ab": 0, "ab": 1, "?": 2}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    other.save(str(tmp_path / "other.json"))
+    tokens = K.Tokens(str(tmp_path / "other.json"))
+    assert not tokens.by_parts
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(["Ab ab", "", "Ab1 ab"])] == [[0, 1], [], [2, 1]]
+
+
+def test_tokens_forget_long_words(monkeypatch):
+    tokens = K.Tokens(tokenizer_path())
+    assert tokens.by_parts
+    monkeypatch.setattr(K, "CACHED_CHARS", 1000)
+    texts = ["x" * 900 + "y" * i + " word" for i in range(5)] + ["語" * 700 + str(i) for i in range(5)]
+    for t in texts:
+        assert tokens.encode([t]) == tokens._whole([t])
+        assert sum(map(len, tokens.known)) + sum(map(len, tokens.parts)) <= 1000 + 2 * len(t)

@@ -29,8 +29,9 @@ STEP = 8
 #: The program ends when its value is within this factor of a lower bound: the tokens over the sequence's length, or the
 #: value over what the best pattern is worth.
 CLOSE = 1.001
-#: Words that a task keeps the ids of.
+#: Words that a task keeps the ids of, and the characters that they may have in all.
 CACHED_WORDS = 400_000
+CACHED_CHARS = 32_000_000
 
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
@@ -51,14 +52,22 @@ class _PartIds(dict):
 class Tokens:
     """Ids of texts by a tokenizer file, as little-endian 32-bit bytes; each distinct chunk or part of a text is encoded once.
 
-    Chunks end at ASCII white space, which this tokenizer drops, and no token of it reaches over white space.
+    Chunks end at ASCII white space, which the tokenizer is taken to drop, with no token reaching over it, and plain texts
+    are cut by `_PARTS`. A tokenizer that gives other ids on a probe of such texts encodes every text whole instead.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.parts = _PartIds(self.tokenizer.model)
+        self.parts, self.chars = _PartIds(self.tokenizer.model), 0
+        try:
+            self.by_parts = [self._whole([p])[0] for p in _PROBES] == self._by_parts(_PROBES)
+        except Exception:  # a model that can't read a part by itself
+            self.by_parts = False
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text that is plain (see _is_plain): its lower-cased parts, encoded one by one by the model."""
@@ -90,10 +99,23 @@ class Tokens:
         return [b"".join([known[c] for c in cs]) for cs in chunks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_parts:
+            return self._whole(texts)
+        # A text adds at most its own length to each cache.
+        self.chars += 2 * sum(map(len, texts))
+        if self.chars > CACHED_CHARS:
+            self.chars = sum(map(len, self.known)) + sum(map(len, self.parts))
+        if self.chars > CACHED_CHARS:
+            self.known.clear()
+            self.parts.clear()
+            self.chars = 0
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         if len(self.parts) > CACHED_WORDS:
             self.parts.clear()
+        return self._by_parts(texts)
+
+    def _by_parts(self, texts: list[str]) -> list[bytes]:
         plain = [_is_plain(t) for t in texts]
         rest = iter(self._chunked([t for t, easy in zip(texts, plain, strict=True) if not easy]))
         return [self._plain(t) if easy else next(rest) for t, easy in zip(texts, plain, strict=True)]
@@ -110,6 +132,16 @@ def _is_plain(text: str) -> bool:
 #: How the tokenizer cuts lower-cased text of such characters into the parts that its model encodes.
 _PARTS = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼½¾]|[^\sa-zß-öø-ÿ0-9²³¹¼½¾]+")
 _UNUSUAL = re.compile(r"[^\t-\r -~¡-©«-´¶-¹»-ÿ]")
+#: Texts with all plain characters alone and in a row, words in both cases, contractions, numbers, and texts that are not plain.
+_PLAIN = [c for c in map(chr, range(256)) if not _UNUSUAL.search(c)]
+_PROBES = [
+    " ".join(_PLAIN),
+    "".join(_PLAIN),
+    "Ab" + "ab Ab".join(_PLAIN),
+    "It's WE'LL they'd  don't\t\tÉCOLE naïve\r\n1984 3.14 a1b2 -- ==(x)!? ' s 're\x0b_under_score_ HTTP://A.org/?q=1",
+    " \n",
+    "mixed 日本語 text, ﬁne Ⅷ e\u0301 İstanbul \u00a0no-break \u3000 wide ½ªº",
+]
 #: The character that stands for each byte: itself if it is visible Latin-1, and else one from 256 on, in order.
 _VISIBLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTE_CHARS = dict(zip([*_VISIBLE, *(b for b in range(256) if b not in set(_VISIBLE))], [chr(b) for b in _VISIBLE] + [chr(256 + i) for i in range(256 - len(_VISIBLE))], strict=True))
