@@ -41,6 +41,23 @@ def test_counts_are_poisson(spark):
     assert [r["mix_key"] for r in again.limit(50).collect()] == [r["mix_key"] for r in M.mix(df, total=rate * 20_000).limit(50).collect()]
 
 
+def test_program_of_all_sizes_beside_a_session(spark):
+    """256 sizes, as a large corpus has, in a process that has started Spark: the program ends, and near its lower bound."""
+    import time
+
+    assert spark.range(10).count() == 10
+    sizes = np.arange(1, 257)
+    demand = 1000.0 * np.exp(-sizes / 60)
+    began = time.time()
+    patterns = K.cutting_stock(sizes, demand, 256)
+    assert time.time() - began < 120
+    made = sum(p * x for p, x in patterns)
+    assert np.all(made >= demand - 1e-3) and all((p * sizes).sum() <= 256 for p, _ in patterns)
+    assert sum(x for _, x in patterns) <= 1.002 * (sizes * demand).sum() / 256
+    basis = np.random.default_rng(3).integers(0, 4, (50, 50))
+    assert np.abs(K._inverse(basis) @ basis - np.eye(50)).max() < 1e-9
+
+
 def test_knapsack_and_program():
     rng = np.random.default_rng(0)
     for _ in range(20):

@@ -191,6 +191,20 @@ def _knapsack(values: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), counts
 
 
+def _inverse(basis: np.ndarray) -> np.ndarray:
+    """The inverse by row operations with pivots: plain array arithmetic, as a threaded library call may not return in the driver."""
+    m = len(basis)
+    a = np.hstack([basis.astype(float), np.eye(m)])
+    for i in range(m):
+        p = i + int(np.abs(a[i:, i]).argmax())
+        a[[i, p]] = a[[p, i]]
+        a[i] /= a[i, i]
+        factors = a[:, i].copy()
+        factors[i] = 0
+        a -= factors[:, None] * a[i]
+    return a[:, m:]
+
+
 def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often each is used in the optimum of the linear program, by column generation.
 
@@ -200,7 +214,7 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[
     m = len(sizes)
     fit = capacity // sizes
     patterns = [np.eye(1, m, i, dtype=np.int64)[0] * fit[i] for i in range(m)]
-    inverse, x, bound = np.diag(1.0 / fit), demand / fit, float(sizes @ demand) / capacity
+    inverse, x, bound = np.diag(1.0 / fit), demand / fit, float((sizes * demand).sum()) / capacity
     for rounds in range(40 * m + 100):
         duals = inverse.sum(axis=0)
         value, column = _knapsack(duals, sizes, capacity)
@@ -217,13 +231,13 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[
         x = x - ratios[out] * d
         x[out] = ratios[out]
         x = np.maximum(x, 0)
-        inverse[out] /= d[out]
-        others = np.arange(m) != out
-        inverse[others] -= np.outer(d[others], inverse[out])
+        row = inverse[out] / d[out]
+        inverse -= d[:, None] * row
+        inverse[out] = row
         patterns[out] = column
         if rounds % 200 == 199:  # rounding errors do not add up
-            inverse = np.linalg.inv(np.array(patterns, float).T)
-            x = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(np.array(patterns).T)
+            x = np.maximum((inverse * demand).sum(axis=1), 0)
     return list(zip(patterns, x, strict=True))
 
 
