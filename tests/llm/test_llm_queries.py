@@ -41,4 +41,4 @@ def test_entry_without_llm(spark):
     import __spark_entry__ as e
 
     names = e.queries()
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} >= set(range(1, 12))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import chat_format, html_extract, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, url_filter
+from veriframe.llm import chat_format, divergence, html_extract, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, url_filter
 from veriframe.llm.common import table
 
 URL_RULES = [
@@ -189,9 +189,47 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (
+  SELECT lang, source, row_number() OVER () AS doc,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM d),
+c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS docs
+  FROM (SELECT lang, source, doc, unnest(terms) AS term FROM t) GROUP BY lang, source, term),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 10),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(l.v, 0) AS v, l.total AS lang_total,
+         coalesce((SELECT sum(c.n) FROM c JOIN kept k ON k.lang = c.lang AND k.term = c.term WHERE c.lang = g.lang AND c.source = g.source), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN langs l ON l.lang = g.lang),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.total + 2 * g.v)) AS p,
+         (1 + 1000000000::HUGEINT * (k.n + 2) // (g.lang_total + 2 * g.v)) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+items AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM dense WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM items)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op7_html_extract, op8_mixing, op9_language_id, op10_neighbours)}
+    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op7_html_extract, op8_mixing, op9_language_id, op10_neighbours, op11_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_near_dedup": OP6_SQL, "op8_mixing": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_near_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op11_divergence": OP11_SQL}
