@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import chat_format, divergence, html_extract, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, url_filter
+from veriframe.llm import chat_format, collocations, divergence, html_extract, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, url_filter
 from veriframe.llm.common import table
 
 URL_RULES = [
@@ -227,9 +227,42 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k.k AS words, array_to_string(w[i.i:i.i + k.k - 1], ' ') AS phrase
+  FROM w, unnest(range(1, 5)) AS k(k), unnest(range(1, len(w) - k.k + 2)) AS i(i)),
+f AS (SELECT lang, words, phrase, count(*) AS f FROM grams GROUP BY lang, words, phrase),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE words >= 2 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k.k, l.f AS l, r.f AS r, 2000000::HUGEINT * c.a // (l.f + r.f) AS score
+  FROM c, unnest(range(1, c.words)) AS k(k)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k.k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k.k + 1:c.words], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT c.lang, array_to_string(c.w[i.i:i.i + k.k - 1], ' ') AS phrase, max(c.a) AS longer
+  FROM c, unnest(range(2, c.words)) AS k(k), unnest(range(1, c.words - k.k + 2)) AS i(i) GROUP BY ALL),
+own AS (
+  SELECT b.* FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.longer >= 80 * b.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM own)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n, score::BIGINT AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op7_html_extract, op8_mixing, op9_language_id, op10_neighbours, op11_divergence)}
+    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op7_html_extract, op8_mixing, op9_language_id, op10_neighbours, op11_divergence, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_near_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op11_divergence": OP11_SQL}
+    return {"op1_url_filter": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_near_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op11_divergence": OP11_SQL, "op13_collocations": OP13_SQL}
