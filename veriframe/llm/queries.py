@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import chat_format, collocations, divergence, html_extract, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, url_filter
+from veriframe.llm import additive, chat_format, collocations, divergence, html_extract, language_id, line_dedup, mixing, near_dedup, neighbours, packing, quality, url_filter
 from veriframe.llm.common import table
 
 URL_RULES = [
@@ -227,6 +227,17 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def held_out_fifth() -> Column:
+    """Whether a document is kept from learning quality: crc32 of its id as text, modulo 5, is 0 (a null id counts as empty)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = additive.fit(docs, table(spark, sf_dir, "labels").filter(~held_out_fifth()))
+    return additive.score(docs.select("doc_id", held_out_fifth().alias("held_out"), "text"), model, keep_text=False)
+
+
 OP13_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
@@ -261,7 +272,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op7_html_extract, op8_mixing, op9_language_id, op10_neighbours, op11_divergence, op13_collocations)}
+    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_quality, op4_chat_format, op5_line_dedup, op6_near_dedup, op7_html_extract, op8_mixing, op9_language_id, op10_neighbours, op11_divergence, op12_quality_classifier, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
