@@ -22,22 +22,15 @@ def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "parque
 def outbox(stream: DataFrame, admit, key: str, publish: Callable[[DataFrame, int], None], target: str, checkpoint: str, volatile: tuple[str, ...] = ()) -> StreamingQuery:
     """Admitted rows to `target`, once for each key and content, and those that are new to `publish`.
 
-    The content leaves out volatile columns. A batch that is run again finds its rows there and publishes none twice: rows
-    are looked for among earlier batches only, and each batch has a folder of its own.
+    The content leaves out volatile columns. What has been seen is kept as state, so a batch costs what it brings, however
+    long the history; a batch that is run again finds the state as it was before it, and its own folder, which it replaces.
     """
-    from veriframe.sources.readers import _exists
-
     stable = [c for c in stream.columns if c not in volatile]
-    admitted = stream.filter(admit).withColumn("content", F.sha2(F.to_json(F.struct(*sorted(stable))), 256))
+    admitted = stream.filter(admit).withColumn("content", F.sha2(F.to_json(F.struct(*sorted(stable))), 256)).dropDuplicates([key, "content"])
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key, "content"])
-        if _exists(spark, f"{target}/batch=*"):
-            earlier = spark.read.parquet(target).filter(F.col("batch") < number).select(key, "content")
-            fresh = fresh.join(earlier, [key, "content"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        publish(spark.read.parquet(f"{target}/batch={number}"), number)
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        publish(batch.sparkSession.read.parquet(f"{target}/batch={number}"), number)
 
     return admitted.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
