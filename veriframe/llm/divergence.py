@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import ascii_lower, cut, partitions
+from veriframe.llm.common import cut, partitions
 
-#: What stands between terms, which are maximal runs of ASCII letters and of any characters beyond ASCII.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms are maximal runs of ASCII letters and of any characters beyond ASCII; all other characters stand between them.
+_UPPER = "".join(chr(c) for c in range(0x41, 0x5B))
+_BETWEEN = "".join(chr(c) for c in range(0x80) if not chr(c).isalpha())
 #: Documents that a kept term must be in, at least, and ranks of terms that are returned.
 LEAST_DOCUMENTS, TOP = 10, 10
 #: Probabilities are integers of this many parts.
@@ -49,10 +50,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
     docs has lang, source and text, none of them null. A text's terms are sorted, so that each first of a run counts its
     document: no shuffle is needed but the one that sums up, after each task has.
     """
-    terms = F.sort_array(F.split(ascii_lower(F.col("text")), BETWEEN))
+    spaced = F.translate("text", _UPPER + _BETWEEN, _UPPER.lower() + " " * len(_BETWEEN))
+    terms = F.sort_array(F.split(spaced, " "))
     each = docs.select("lang", "source", terms.alias("terms")).select("lang", "source", "terms", F.posexplode("terms").alias("at", "term"))
     first = (F.col("at") == 0) | (F.get("terms", F.col("at") - 1) != F.col("term"))
-    marked = each.select("lang", "source", "term", first.cast("int").alias("first")).filter("term <> ''")  # before and after the outermost
+    marked = each.select("lang", "source", "term", first.cast("int").alias("first")).filter("term <> ''")  # between two characters that both part terms
     return marked.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
 
 
@@ -70,16 +72,16 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP) -> Data
     """
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     groups = cut(named.select("lang", "source").distinct())
-    counts = cut(term_counts(named))
+    of_term = Window.partitionBy("lang", "term")  # a row for each source at most
+    counted = term_counts(named).select("*", F.sum("n").over(of_term).alias("lang_n"), F.sum("docs").over(of_term).alias("in"))
+    found = cut(counted.filter(F.col("in") >= least).select("lang", "source", "term", "n", "lang_n"))
 
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least).drop("docs")
-    kept = cut(kept)
-    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
-    found = counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"])
+    kept = found.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"))
+    sizes = cut(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total")))
     totals = groups.join(sizes, "lang").join(found.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").fillna(0, ["total"])
 
     crossed = _within(kept, totals, "lang", F.col("term"))
-    dense = crossed.join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").fillna(0, ["n"])
+    dense = crossed.join(found.drop("lang_n"), ["lang", "source", "term"], "left").fillna(0, ["n"])
     dense = dense.select(
         "lang", "source", "term", "n",
         _probability(F.col("n"), F.col("total"), F.col("v")).alias("p"),
