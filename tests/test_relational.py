@@ -95,7 +95,7 @@ def test_best_overlap_reads_every_row(spark, tmp_path):
         shared = {o: sum((o, p) in sold for z, p in sold if z == s) for o, _ in sold if o != s}
         best = min(((-n, o) for o, n in shared.items() if n), default=None)
         want += [(s, best[1], -best[0])] if best else []
-    got = registry.queries()["q14b_best_overlap_all"](spark, str(tmp_path)).collect()
+    got = registry.queries()["q14_best_overlap"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want) == [(1, 3, 2), (2, 1, 1), (3, 1, 2)]
 
 

@@ -1,9 +1,7 @@
-import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from veriframe.functions import python_udfs as U
 from veriframe.functions import text as T
 
 
@@ -42,33 +40,3 @@ def test_sets_and_json(spark):
     assert one(spark, 2, T.backoff_seconds, "int") == 30
     assert one(spark, "2024-01-02T03:04:05Z", lambda c: T.parse_time(c).cast("string")) == "2024-01-02 03:04:05"
     assert one(spark, "12990", lambda c: T.one_inserted(c, F.lit("1299"))) is True
-
-
-def test_osa():
-    assert [U.osa(*x) for x in (("ab", "ba"), ("ca", "abc"), ("kitten", "sitting"), ("a", "a"), ("abcdef", "a"))] == [1, 3, 3, 0, 4]
-
-
-def test_json_text():
-    assert U.json_objects('x {"a": {"b": 1}} y {bad} {"c": 2} {"d":1,"d":2}') == ['{"a":{"b":1}}', '{"c":2}']
-    assert U.repair('```json\n{"a": [1, 2,\n// no\n "b"') == '{"a": [1, 2,\n "b"]}'
-    assert U.repeats("spam " * 20) and not U.repeats("a few quite different words stand here")
-
-
-def filler(n, start=0):
-    return " ".join(f"{i:x}q{i * i:o}" for i in range(start, start + n))
-
-
-def test_repetition_beyond_the_first_characters():
-    passage = "the quick brown fox jumps over the lazy dog and then it rests for one whole afternoon in the deep shade. "
-    late = filler(400) + " " + "".join(passage + filler(40, 1000 + 100 * k) + " " for k in range(4)) + filler(100, 5000)
-    assert len(filler(400)) > 2000 and "\n" not in late
-    assert U.repeats(late) and not U.repeats(filler(800))
-    assert all(U.repeats(filler(50) + "abc!defgh?ijklm+nop=qrs-tuv_wxy.ABC,DEF;GHIJ"[:size] * 8) for size in (10, 12, 20, 24, 40))
-    assert U.repeats(filler(50) + "\nseventeen letters\n" + filler(3, 700) + "\nseventeen letters")
-
-
-def test_window_thrice_against_counting():
-    rng = random.Random(3)
-    for _ in range(300):
-        text = "".join(rng.choices(["ab", "a", "abcab" * 3, "x" * rng.randint(1, 70), "the same old words again, "], k=rng.randint(0, 60))) + filler(900) * rng.randint(0, 1)
-        assert U.window_thrice(text) == any(text.count(text[i : i + 30]) >= 3 for i in range(0, len(text) - 30, 50))

@@ -90,7 +90,7 @@ def merge_objects(found: Column, core: list[str], evidence: list[str], other: li
 
     single_object: one object, whose `container`, if there, is taken apart; disjoint_core_evidence: one with core keys and at
     most one without, which share no key. Otherwise the mode is none or rejected, the reason says why, and merged is null.
-    found: an array of JSON texts of objects without repeated keys, as `extract_json_objects` gives them.
+    found: an array of JSON texts of objects without repeated keys, as `folds.json_objects` gives them.
     """
     texts = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
     parsed = lambda c: F.from_json(c, "map<string,string>")

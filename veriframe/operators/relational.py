@@ -123,20 +123,31 @@ def unique_first_letter(probe: DataFrame, catalog: DataFrame, probe_col: str, va
     return probe.join(one, probe_col, "left")
 
 
+def near_pairs(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str, most: int = 2, family: int = 3) -> DataFrame:
+    """Probes and catalog values of the same first characters, each pair once, with their edit distance (`_d`), up to `most`.
+
+    Both sides are filed under what is left of them with up to `most` characters deleted behind the family, as hashes, and meet
+    by equality; texts within `most` edits have such a rest in common. So texts of one family meet only if they are close:
+    no pair is made that is more than twice `most` apart. Null texts pair with nothing.
+    """
+    from veriframe.functions.folds import deletions, osa_distance
+
+    def filed(df: DataFrame, c: str) -> DataFrame:
+        rest = F.explode(F.transform(deletions(F.substring(c, family + 1, 1 << 30), most), lambda t: F.xxhash64(F.substring(c, 1, family), t)))
+        return df.select(c).filter(F.col(c).isNotNull()).distinct().select(c, rest.alias("_key"))
+
+    pairs = filed(probe, probe_col).join(filed(catalog, value_col), "_key").select(probe_col, value_col).distinct()
+    same = F.substring(probe_col, 1, family) == F.substring(value_col, 1, family)
+    return pairs.filter(same).withColumn("_d", osa_distance(F.col(probe_col), F.col(value_col), most)).filter(F.col("_d") <= most)
+
+
 def unique_nearest(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str, family: int = 3) -> DataFrame:
     """probe with `nearest`: the one closest catalog value, at one edit (from 8 characters) or two (from 9), else null.
 
-    Only values of the same first characters and a length that differs by two at most are compared.
+    Only values of the same first characters are compared, and of these only those that are close (see near_pairs).
     """
-    from veriframe.functions.python_udfs import osa_distance
-
-    block = lambda c: F.substring(c, 1, family)
-    values = catalog.select(value_col).distinct().withColumn("_f", block(value_col))
-    probes = probe.select(probe_col).distinct().withColumn("_f", block(probe_col))
-    pairs = probes.join(values, "_f").filter(F.levenshtein(probe_col, value_col, 4) >= 0)  # two swaps are four edits at most
-    scored = pairs.withColumn("_d", osa_distance(probe_col, value_col))
     nearest = lambda c: F.struct("_d", c)
-    best = scored.groupBy(probe_col).agg(F.min(nearest(value_col)).alias("_b"), F.min("_d").alias("_m"), F.max_by(value_col, F.struct(-F.col("_d"), value_col)).alias("_z"))
+    best = near_pairs(probe, catalog, probe_col, value_col, 2, family).groupBy(probe_col).agg(F.min(nearest(value_col)).alias("_b"), F.min("_d").alias("_m"), F.max_by(value_col, F.struct(-F.col("_d"), value_col)).alias("_z"))
     allowed = F.when(F.length(probe_col) >= 9, 2).when(F.length(probe_col) >= 8, 1).otherwise(0)
     unique = F.col("_z") == F.col(f"_b.{value_col}")  # of several that are closest, the first and the last differ
     return probe.join(best.filter((F.col("_m") <= allowed) & unique).select(probe_col, F.col(f"_b.{value_col}").alias("nearest"), F.col("_m").alias("distance")), probe_col, "left")

@@ -149,15 +149,18 @@ def first_present(rows: DataFrame, key: str, order: str, columns: Sequence[str])
     return rows.groupBy(key).agg(*[F.min_by(c, F.when(T.present(F.col(c).cast("string")), F.col(order))).alias(c) for c in columns])
 
 
-def suggestions(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str, limit: int = 4, family: int = 3) -> DataFrame:
-    """The closest catalog values of the probe's family, by edit distance and then by name, with their rank."""
-    from veriframe.functions.python_udfs import osa_distance
+def suggestions(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str, limit: int = 4, family: int = 3, most: int = 3) -> DataFrame:
+    """The closest catalog values of the probe's family, by edit distance and then by name, with their rank.
 
-    a = probe.select(probe_col).distinct().withColumn("_f", F.substring(probe_col, 1, family))
-    b = catalog.select(value_col).distinct().withColumn("_f", F.substring(value_col, 1, family))
-    scored = a.join(b, "_f").withColumn("distance", osa_distance(probe_col, value_col)).drop("_f")
+    All beyond `most` edits count as most + 1 and rank by name alone, so of these a family's first `limit` names are enough.
+    """
+    near = R.near_pairs(probe, catalog, probe_col, value_col, most, family).withColumnRenamed("_d", "distance")
+    named = catalog.select(value_col).distinct().withColumn("_f", F.substring(value_col, 1, family))
+    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("_f").orderBy(value_col))).filter(F.col("_n") <= limit).drop("_n")
+    asked = probe.select(probe_col).distinct().withColumn("_f", F.substring(probe_col, 1, family))
+    far = asked.join(first, "_f").drop("_f").join(near.drop("distance"), [probe_col, value_col], "left_anti").withColumn("distance", F.lit(most + 1))
     rank = F.row_number().over(Window.partitionBy(probe_col).orderBy("distance", value_col))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    return near.unionByName(far).withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
 def input_fingerprint(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

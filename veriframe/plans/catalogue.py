@@ -186,17 +186,6 @@ def q14(spark, sf):
     return R.best_overlap(sold, sold.withColumnRenamed("l_suppkey", "other"), "l_partkey", "l_suppkey", "other")
 
 
-@query(
-    "q14b_best_overlap_all",
-    """WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
-       p AS (SELECT a.l_suppkey AS s, b.l_suppkey AS other, count(*) AS shared FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2)
-       SELECT s AS l_suppkey, other, shared FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY shared DESC, other) AS r FROM p) WHERE r = 1""",
-)
-def q14b(spark, sf):
-    """As q14, which once read quantities above 40 only; kept under its name."""
-    return q14(spark, sf)
-
-
 @query(
     "q15_fuzzy_nearest",
     """WITH c AS (SELECT c_custkey, left(upper(md5(CAST(c_custkey AS VARCHAR))), 10) AS code FROM customer), t AS (SELECT c_custkey, code[1:5] || code[7] || code[6] || code[8:10] AS typed FROM c),
@@ -481,11 +470,23 @@ def q40(spark, sf):
     return named.groupBy("period", T.year_of(F.col("period")).alias("y"), T.include_symbol(F.col("period"), 2000).alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q41_repetition")
+@query(
+    "q41_repetition",
+    r"""WITH d AS (SELECT doc_id, CASE WHEN contains(text, '{') THEN trim(split_part(text, '{', 1), e' \t\n\x0b\x0c\r') ELSE coalesce(text, '') END AS w FROM documents),
+       p AS (SELECT doc_id, w, list_reverse(regexp_extract_all(w, '[A-Za-z0-9]+(?::[A-Za-z0-9]+)?|[\x{4e00}-\x{9fff}]{2,}'))[1:120] AS tokens, right(regexp_replace(w, '[ \t\n\x0b\f\r]+', '', 'g'), 1600) AS tail,
+              list_filter(list_transform(string_split(w, chr(10)), lambda x: trim(x, e' \t\n\x0b\x0c\r')), lambda x: length(x) > 15) AS lines FROM d)
+       SELECT doc_id,
+         len(list_filter(list_distinct(tokens), lambda t: length(t) >= 4 AND len(list_filter(tokens, lambda x: x = t)) >= 12)) > 0
+         OR len(list_filter([4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 40], lambda n: length(tail) >= 8 * n AND ends_with(tail, repeat(right(tail, n), 6)))) > 0
+         OR len(list_distinct(lines[-15:])) < len(lines[-15:])
+         OR (len(lines) >= 2 AND length(w) > 200 AND len(list_filter(range(0, length(w) - 30, 50), lambda i: length(w) - length(replace(w, substr(w, i::INT + 1, 30), '')) >= 90)) > 0) AS repeats
+       FROM p""",
+)
 def q41(spark, sf):
-    from veriframe.functions.python_udfs import has_repetition
+    """Texts that loop."""
+    from veriframe.functions.folds import loops, watched_prose
 
-    return table(spark, sf, "documents").select("doc_id", has_repetition("text").alias("repeats"))
+    return table(spark, sf, "documents").select("doc_id", loops(watched_prose(F.col("text"))).alias("repeats"))
 
 
 @query(
@@ -493,10 +494,10 @@ def q41(spark, sf):
     """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END::INT AS objects, '{"k":' || json_extract(props, '$.k') || '}' AS first FROM events""",
 )
 def q42(spark, sf):
-    from veriframe.functions.python_udfs import extract_json_objects
+    from veriframe.functions.folds import json_objects
 
     prose = F.concat(F.lit("The answer {is} "), "props", F.when(F.col("event_id") % 3 == 0, F.lit(' and {"a": "}{"} too')).otherwise(" only {"))
-    found = table(spark, sf, "events").select("event_id", extract_json_objects(prose).alias("found"))
+    found = table(spark, sf, "events").select("event_id", json_objects(prose).alias("found"))
     return found.select("event_id", F.size("found").alias("objects"), F.get("found", F.lit(0)).alias("first"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import domain as D
 from veriframe.functions import text as T
+from veriframe.functions.folds import json_objects
 from veriframe.operators import relational as R
 from veriframe.operators import rules as S
 from veriframe.plans import composites as C
@@ -576,8 +577,6 @@ def q135(spark, sf):
 )
 def q136(spark, sf):
     """Objects of a prose around props, merged or rejected."""
-    from veriframe.functions.python_udfs import extract_json_objects
-
     cue = F.concat(F.lit('"cue":"'), "event_type", F.lit('"'))
     prose = {
         0: F.lit("nothing {here}"),
@@ -590,7 +589,7 @@ def q136(spark, sf):
         7: F.concat(F.rtrim(F.col("props"), F.lit("}")), F.lit(', "evidence": null}')),
     }
     text = F.coalesce(*[F.when(F.col("user_id") % 8 == i, c) for i, c in prose.items()])
-    found = table(spark, sf, "events").select("event_id", extract_json_objects(text).alias("found"))
+    found = table(spark, sf, "events").select("event_id", json_objects(text).alias("found"))
     one = D.merge_objects(F.col("found"), ["k"], ["cue"], ["note"])
     return found.select("event_id", one.alias("one")).select("event_id", "one.mode", "one.reason", F.try_element_at("one.merged", F.lit("k")).alias("k"), F.try_element_at("one.merged", F.lit("cue")).alias("cue"))
 
