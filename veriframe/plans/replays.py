@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veriframe.plans import adjudication as A
 from veriframe.plans.catalogue import table
 from veriframe.plans.exhibits import folder
 from veriframe.plans.registry import query
@@ -61,3 +62,80 @@ def q142(spark, sf):
     for _ in range(2):  # the second start finds its state, and nothing new
         state.run_to_end(state.lasting_sources(stream, "event_type", "user_id"), f"{at}/out", f"{at}/state", idle=False)
     return state.held(spark, f"{at}/state")
+
+
+# Three passes -----------------------------------------------------------------------------------------------------------
+
+_FLAG = f"""CASE WHEN l_orderkey % 7 = 0 THEN list_value({", ".join(f"'{r.name}'" for r in A.RULES)})[(l_orderkey // 7 % {len(A.RULES)} + 1)::INT] END"""
+_VIEW = f"CASE WHEN l_returnflag = 'N' THEN '{A.SINGLE}' ELSE '{A.DISTANT}' END"
+_PASSES = f"""p AS (
+  SELECT l_orderkey AS k, attempt, {_VIEW} AS view, (l_quantity::BIGINT % 5)::INT AS screens, l_partkey % 3 = 0 AS main, CASE WHEN l_linestatus = 'O' THEN 'matched' ELSE 'other' END AS owner,
+         l_suppkey % 7 = 0 AS weak, l_suppkey % 7 IN (1, 2) AS edge, l_suppkey % 7 = 3 AS family, l_discount > 0.02 AS geometry, l_tax > 0.07 AS counter, {_FLAG} AS flag,
+         CASE WHEN l_partkey % 4 > 0 THEN 'M' || (l_partkey % 2) END AS model, CASE WHEN l_suppkey % 5 > 0 THEN (l_suppkey % 2)::INT END AS price, l_discount < 0.1 AS safe, l_tax < 0.08 AS healthy, CASE WHEN l_extendedprice > 99000 THEN 'B' ELSE 'A' END AS image,
+         ['s' || l_suppkey % 7, 'cue'] AS cues, row_number() OVER (PARTITION BY l_orderkey ORDER BY attempt DESC) AS back
+  FROM (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))::INT AS attempt FROM lineitem)),
+l AS (SELECT * FROM p WHERE back <= 3),
+b AS (
+  SELECT *, coalesce(view = '{A.DISTANT}' AND (screens = 0 OR screens >= 3) AND NOT main AND owner <> 'matched', false) AS distant, view = '{A.SINGLE}' AND NOT weak AS single, view = '{A.SINGLE}' AND edge AS edge_cut,
+         view = '{A.SINGLE}' AND weak AS weak_wide, family AND geometry AS family_geometry, counter AS counterevidence, true AS usable, attempt % 3 <> 0 AS prior_bound, model IS NOT NULL AS winning_pair,
+         family AS narrated_fixture, screens >= 3 AS identity_free_wide, screens = 0 AS zero_screen, model IS NULL AS identity_free_single FROM l),
+c AS (SELECT *, distant AND screens = 0 AS no_screen, distant AND screens <> 0 AS multi_screen FROM b),
+n AS (
+  SELECT k, max(flag) AS flag, {", ".join(f"count(*) FILTER ({x}) AS n_{x}" for x in ("family", "family_geometry", "counterevidence", "multi_screen", "weak_wide", "edge_cut", "no_screen", "distant", "single"))}
+  FROM c GROUP BY k),
+r AS (SELECT k, CASE {" ".join(f"WHEN {x.when or f"flag = '{x.name}'"} THEN {i}" for i, x in enumerate(A.RULES))} END AS number FROM n),
+s AS (
+  SELECT c.*, r.number, coalesce(CASE r.number {" ".join(f"WHEN {i} THEN {' OR '.join(x.support)}" for i, x in enumerate(A.RULES))} END, false) AS supports,
+         CASE r.number {" ".join(f"WHEN {i} THEN '{x.name}'" for i, x in enumerate(A.RULES))} END AS rule, CASE r.number {" ".join(f"WHEN {i} THEN '{x.view}'" for i, x in enumerate(A.RULES))} END AS final
+  FROM c JOIN r USING (k))"""
+
+
+def _passes(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
+    """Order lines as passes: an order is a key, its lines are attempts; every seventh order has a rule's flag."""
+    number = F.floor(F.col("l_orderkey") / 7) % len(A.RULES)
+    flag = F.when(F.col("l_orderkey") % 7 == 0, F.array(F.get(F.array(*[F.lit(r.name) for r in A.RULES]), number.cast("int"))))
+    ship = F.col("l_suppkey") % 7
+    attempt = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    df = table(spark, sf, "lineitem").withColumn("attempt", attempt).select(
+        F.col("l_orderkey").alias("k"), "attempt", F.when(F.col("l_returnflag") == "N", A.SINGLE).otherwise(A.DISTANT).alias("view"), (F.col("l_quantity").cast("long") % 5).cast("int").alias("screens"),
+        (F.col("l_partkey") % 3 == 0).alias("main"), F.when(F.col("l_linestatus") == "O", "matched").otherwise("other").alias("owner"), (ship == 0).alias("weak"), ship.isin(1, 2).alias("edge"), (ship == 3).alias("family"),
+        (F.col("l_discount") > 0.02).alias("geometry"), (F.col("l_tax") > 0.07).alias("counter"), flag.alias("flags"), F.when(F.col("l_partkey") % 4 > 0, F.concat(F.lit("M"), (F.col("l_partkey") % 2).cast("string"))).alias("model"),
+        F.when(F.col("l_suppkey") % 5 > 0, (F.col("l_suppkey") % 2).cast("int")).alias("price"), (F.col("l_discount") < 0.1).alias("safe"), (F.col("l_tax") < 0.08).alias("healthy"), F.when(F.col("l_extendedprice") > 99000, "B").otherwise("A").alias("image"),
+        F.transform(F.array(F.concat(F.lit("s"), ship.cast("string")), F.lit("cue")), lambda c: F.struct(c.alias("cue"), F.lit("strong").alias("strength"))).alias("cues"),
+    )
+    c = F.col
+    own = A.buckets(c("view"), c("screens"), c("main"), c("owner"), c("weak"), c("edge"), c("family"))
+    other = {"family_geometry": c("family") & c("geometry"), "counterevidence": c("counter"), "prior_bound": c("attempt") % 3 != 0, "winning_pair": c("model").isNotNull(), "narrated_fixture": c("family")}
+    return df, own | other | {"identity_free_wide": c("screens") >= 3, "zero_screen": c("screens") == 0, "identity_free_single": c("model").isNull()}
+
+
+@query("q143_rule_cascade", f"WITH {_PASSES} SELECT k, rule, final AS view, coalesce(list(attempt ORDER BY attempt) FILTER (supports), []) AS support FROM s GROUP BY k, rule, final")
+def q143(spark, sf):
+    """The first of 28 ordered rules that holds for each order's last three lines, and the lines that support it."""
+    df, own = _passes(spark, sf)
+    decided = A.decide_view(df, "k", "attempt", own, "flags", [])
+    return decided.select("k", "rule", "view", F.transform("support", lambda p: p["attempt"]).alias("support"))
+
+
+@query(
+    "q144_three_pass_final",
+    f"""WITH {_PASSES},
+    v AS (SELECT *, owner = 'matched' AND model IS NOT NULL AND price IS NOT NULL AS votes FROM s),
+    y AS (SELECT k, model, price, count(*) AS seen, count(*) FILTER (supports) AS n, count(*) FILTER (supports AND safe) AS good FROM v WHERE votes GROUP BY k, model, price),
+    z AS (SELECT k, bool_or(n >= 2 AND good < 2) AS blocked, count(*) FILTER (good >= 2) AS agreed, any_value(model) FILTER (good >= 2) AS model, any_value(price) FILTER (good >= 2) AS price,
+                 count(*) AS pairs, count(*) FILTER (seen >= 2) AS repeated, any_value(model) FILTER (seen >= 2) AS want_model, any_value(price) FILTER (seen >= 2) AS want_price FROM y GROUP BY k),
+    g AS (SELECT k, any_value(rule) AS rule, any_value(final) AS view, count(*) FILTER (healthy) AS well, count(DISTINCT lower(image)) AS images, min(screens) FILTER (supports) AS fewest, max(screens) FILTER (supports) AS most,
+                 coalesce(list(attempt ORDER BY attempt) FILTER (supports), []) AS support, list(cues ORDER BY attempt) FILTER (supports) AS cues FROM v GROUP BY k),
+    t AS (SELECT g.*, coalesce(z.blocked, false) AS blocked, CASE WHEN view = '{A.SINGLE}' AND agreed = 1 THEN z.model END AS model, CASE WHEN view = '{A.SINGLE}' AND agreed = 1 THEN z.price END AS price,
+                 coalesce(pairs = 1 AND repeated = 1, false) AS fixed, want_model, want_price FROM g LEFT JOIN z ON z.k = g.k),
+    q AS (SELECT *, CASE WHEN well < 3 THEN '{A.UNHEALTHY}' WHEN images <> 1 THEN '{A.OTHER_IMAGE}' WHEN rule IS NULL THEN '{A.MISSING}' WHEN view = '{A.SINGLE}' AND blocked THEN '{A.BLOCKED}'
+                         WHEN fixed AND (model IS DISTINCT FROM want_model OR price IS DISTINCT FROM want_price) THEN '{A.ERASED}' ELSE '' END AS reason FROM t)
+    SELECT k, reason = '' AS verified, reason, CASE WHEN reason = '' THEN rule END AS rule, CASE WHEN reason = '' THEN view END AS view, CASE WHEN reason = '' THEN model END AS model, CASE WHEN reason = '' THEN price END AS price,
+           CASE WHEN reason = '' THEN CASE WHEN view = '{A.SINGLE}' THEN most WHEN rule IN {A.NO_SCREEN_RULES} THEN 0 ELSE greatest(3, coalesce(fewest, 3)) END END AS screens,
+           CASE WHEN reason = '' THEN array_to_string(list_sort(list_distinct(flatten(coalesce(cues, [])))), ',') END AS cues, CASE WHEN reason = '' THEN support END AS support FROM q""",
+)
+def q144(spark, sf):
+    """Orders settled by their last three lines, or the reason why not."""
+    df, own = _passes(spark, sf)
+    final = A.finalise(df, "k", "attempt", own, "flags", A.usable(F.col("healthy"), F.array().cast("array<string>"), F.col("view"), local_distant=True), "image")
+    return final.withColumn("cues", F.array_join(F.array_sort(F.transform("cues", lambda c: c["cue"])), ","))
