@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
+from veriframe.functions.folds import let
 
 
 def alias(c: Column, names: dict[str, str]) -> Column:
@@ -49,6 +50,45 @@ def clean_stream(c: Column, phrases: list[str], punctuation: str = "，。、；
     return F.ltrim(out, F.lit(punctuation))
 
 
+# Fixed values of the reference: what marks a monologue or a draft, where it ends, and what lines are no monologue.
+MONOLOGUE = ["獨白：", "独白：", "獨白:", "独白:", "獨白", "独白", "自言自語：", "自言自语：", "自言自語", "自言自语"]
+DRAFT = ["草稿：", "草稿:", "草稿"]
+MONOLOGUE_ENDS = ["\nJSON", "JSON 結構", "JSON结构", "\n{", "view_type:", "view_type：", "```"]
+LIST_MARKS = ["-", "*", "1.", "2.", "3.", "4.", "5.", "6.", "7.", "8.", "9.", "#", "【", "[", "(", "`"]
+META_WORDS = ["用戶", "用户", "分析", "判斷", "判断", "分類", "分类", "提取", "構建", "构建", "確定", "确定", "最終檢查", "最终检查", "View Type", "Category", "Model:", "Price:", "Screen Status", "Quality Issue"]
+SEEN_WORDS = ["我看到", "我看", "這台", "这台", "這張", "这张"]
+
+
+def monologue(c: Column, least: int = 10, line_least: int = 15) -> Column:
+    """The monologue in a model's reasoning: behind the first marker that has one of `least` characters or more behind it,
+    markers of monologues before those of drafts; else the line nearest before the JSON that tells what is seen; else empty.
+
+    A monologue ends where structure begins and with its line, and marks at its head go. Null texts have none.
+    """
+    blank = F.lit(" \t\n\x0b\x0c\r")
+    strip = lambda x: F.trim(x, blank)
+
+    def clean(x: Column) -> Column:
+        for end in MONOLOGUE_ENDS:
+            x = F.substring_index(x, end, 1)
+        line = strip(F.substring_index(strip(x), "\n", 1))
+        marks = F.array(*map(F.lit, [*DRAFT, *MONOLOGUE[:6]]))
+        return F.aggregate(marks, line, lambda x, m: F.when(x.startswith(m), strip(F.substring(x, F.length(m) + 1, F.length(x)))).otherwise(x))
+
+    def behind(t: Column) -> Column:
+        marks = F.array(*map(F.lit, [*MONOLOGUE, *DRAFT]))
+        told = F.transform(F.filter(marks, lambda m: t.contains(m)), lambda m: clean(F.substring(t, F.call_function("instr", t, m) + F.length(m), F.length(t))))
+        return F.get(F.filter(told, lambda x: F.length(x) >= least), F.lit(0))
+
+    def nearest(t: Column) -> Column:
+        any_of = lambda x, words: F.exists(F.array(*map(F.lit, words)), lambda w: x.contains(w))
+        lines = F.transform(F.split(F.substring_index(t, "\n{", 1), "\n"), lambda x, i: F.struct(F.call_function("instr", t, strip(x)).alias("at"), (-i).alias("i"), strip(x).alias("x")))
+        fits = lambda x: (F.length(x) >= line_least) & ~F.exists(F.array(*map(F.lit, LIST_MARKS)), lambda m: x.startswith(m)) & ~any_of(x, META_WORDS) & any_of(x, SEEN_WORDS)
+        return let(F.array_max(F.filter(lines, lambda s: fits(s["x"]))), lambda s: clean(s["x"]))
+
+    return let(strip(F.coalesce(c, F.lit(""))), lambda t: F.coalesce(behind(t), nearest(t), F.lit("")))
+
+
 def normalise_evidence(c: Column, valid: list[str], weak: list[str]) -> Column:
     """Evidence structs (cue, strength) with a valid cue, the first of each cue; weak cues are made weak."""
     kept = F.filter(c, lambda e: e["cue"].isin(*valid))

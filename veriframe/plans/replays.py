@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veriframe.functions import domain as D
+from veriframe.operators import reconcile as N
+from veriframe.operators import rules as S
 from veriframe.plans import adjudication as A
 from veriframe.plans.catalogue import table
 from veriframe.plans.exhibits import folder
 from veriframe.plans.registry import query
+from veriframe.sources import readers
 from veriframe.streaming import jobs, state
 
 
@@ -139,3 +143,89 @@ def q144(spark, sf):
     df, own = _passes(spark, sf)
     final = A.finalise(df, "k", "attempt", own, "flags", A.usable(F.col("healthy"), F.array().cast("array<string>"), F.col("view"), local_distant=True), "image")
     return final.withColumn("cues", F.array_join(F.array_sort(F.transform("cues", lambda c: c["cue"])), ","))
+
+
+# Reconciliation and replays ---------------------------------------------------------------------------------------------
+
+
+@query("q145_numbered_errors", "SELECT event_type AS file, number, 'cut off ' || event_id AS line FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS number FROM events) WHERE value < 2")
+def q145(spark, sf):
+    """A file of lines for each kind of event, some cut off: each bad line with its number in its file."""
+    at = folder(spark, "numbered")
+    line = F.when(F.col("value") < 2, F.concat(F.lit("cut off "), F.col("event_id").cast("string"))).otherwise(F.col("props"))
+    lines = table(spark, sf, "events").select("event_type", "event_id", line.alias("value"))
+    lines.repartition("event_type").sortWithinPartitions("event_type", "event_id").drop("event_id").write.partitionBy("event_type").text(at)
+    found = readers.numbered_errors(spark, f"{at}/*/*.txt")
+    return found.withColumn("file", F.regexp_extract("file", "event_type=([^/]*)/", 1))
+
+
+_TOLD = """CASE user_id % 6 WHEN 0 THEN 'Steps first.' || chr(10) || '獨白：我看到' || event_type || '很清楚地在這裡' || chr(10) || '{"k": 1}' WHEN 1 THEN '獨白：短' || chr(10) || '草稿：草稿: a draft of ' || event_type || ' view_type: x'
+         WHEN 2 THEN '我看到一台機器在左邊的架子上 first' || chr(10) || '我看到 ' || event_type || ' and a long line' || chr(10) || '- 我看到 this is a list entry' || chr(10) || '{"k": 1}' || chr(10) || '我看到 a line behind the JSON'
+         WHEN 3 THEN '我看到 分類 ' || event_type || ' is about words' WHEN 4 THEN NULL ELSE props END"""
+
+
+@query(
+    "q146_monologues",
+    """SELECT event_id, CASE user_id % 6 WHEN 0 THEN '我看到' || event_type || '很清楚地在這裡' WHEN 1 THEN 'a draft of ' || event_type WHEN 2 THEN '我看到 ' || event_type || ' and a long line' ELSE '' END AS monologue FROM events""",
+)
+def q146(spark, sf):
+    """What is said in reasonings with markers, drafts, plain lines, or nothing of the kind."""
+    told = F.expr(_TOLD.replace("chr(10)", r"'\n'"))
+    return table(spark, sf, "events").select("event_id", D.monologue(told).alias("monologue"))
+
+
+_LISTED = """r AS (
+  SELECT o_orderkey % 100000 AS place, 'n' || (o_orderkey // 3) AS name, o_custkey % 50 AS size, CASE WHEN o_orderkey % 11 > 0 THEN md5(o_orderstatus || (o_custkey % 7)) END AS md5 FROM orders WHERE o_orderkey % 5 > 0),
+l AS (SELECT o_orderkey AS id, 'n' || (o_orderkey // 3) AS name, (o_custkey + CASE WHEN o_orderpriority = '1-URGENT' THEN 50000 ELSE 0 END) % 60000 % 50 + CASE WHEN o_orderpriority = '2-HIGH' THEN 1000 ELSE 0 END AS size,
+      md5(CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'other' ELSE o_orderstatus END || (o_custkey % 7)) AS md5 FROM orders)"""
+
+
+@query(
+    "q147_remote_listing",
+    f"""WITH {_LISTED},
+    c AS (SELECT size, md5, count(*) AS n, min(place) AS one FROM r GROUP BY 1, 2), b AS (SELECT name, size, md5, count(*) AS m, min(place) AS same FROM r GROUP BY 1, 2, 3), k AS (SELECT name, count(*) AS k, min(place) AS named, min(size) AS size, min(md5) AS md5 FROM r GROUP BY 1),
+    j AS (SELECT l.*, c.n, b.m, k.k, k.named, CASE WHEN c.n = 1 THEN c.one WHEN b.m = 1 THEN b.same END AS found, k.size IS DISTINCT FROM l.size AS other_size, k.md5 IS DISTINCT FROM l.md5 AS other_md5
+          FROM l LEFT JOIN c ON c.size = l.size AND c.md5 = l.md5 LEFT JOIN b ON b.name = l.name AND b.size = l.size AND b.md5 = l.md5 LEFT JOIN k ON k.name = l.name)
+    SELECT id, CASE WHEN found IS NOT NULL THEN 'verified' WHEN n IS NOT NULL THEN 'ambiguous' WHEN k = 1 THEN 'mismatch' WHEN k > 1 THEN 'ambiguous' ELSE 'missing' END AS status,
+           CASE WHEN n IS NULL AND k = 1 THEN concat_ws(',', CASE WHEN other_size THEN 'size' END, CASE WHEN other_md5 THEN 'md5' END) WHEN n IS NOT NULL AND found IS NULL THEN 'content' WHEN n IS NULL AND k > 1 THEN 'name' ELSE '' END AS reason,
+           coalesce(found, CASE WHEN n IS NULL AND k = 1 THEN named END) AS place FROM j""",
+)
+def q147(spark, sf):
+    """Orders as objects here and in a listing there, by size and MD5, then by name."""
+    orders = table(spark, sf, "orders")
+    name, priority = F.expr("'n' || (o_orderkey DIV 3)").alias("name"), F.col("o_orderpriority")
+    digest = lambda c: F.md5(F.concat(c, (F.col("o_custkey") % 7).cast("string")))
+    remote = orders.filter("o_orderkey % 5 > 0").select((F.col("o_orderkey") % 100_000).alias("place"), name, (F.col("o_custkey") % 50).alias("size"), F.when(F.col("o_orderkey") % 11 > 0, digest(F.col("o_orderstatus"))).alias("md5"))
+    size = (F.col("o_custkey") + F.when(priority == "1-URGENT", 50_000).otherwise(0)) % 60_000 % 50 + F.when(priority == "2-HIGH", 1000).otherwise(0)
+    local = orders.select(F.col("o_orderkey").alias("id"), name, size.alias("size"), digest(F.when(priority == "3-MEDIUM", "other").otherwise(F.col("o_orderstatus"))).alias("md5"))
+    return N.reconcile_listing(local, remote, "id", "name", ["size", "md5"], "place")
+
+
+@query(
+    "q148_revalidation",
+    """WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events),
+       d AS (SELECT CASE WHEN event_type = 'error' THEN 'retry' WHEN value > 50 THEN 'unresolved' ELSE 'verified' END AS old, CASE WHEN value > 80 THEN 'unresolved' WHEN event_type IN ('error', 'view') AND value > 5 THEN 'retry' ELSE 'verified' END AS new FROM p WHERE back = 1)
+       SELECT old, new, old <> new AS changed, count(*) AS n FROM d GROUP BY ALL""",
+)
+def q148(spark, sf):
+    """Stored passes under two revisions of the rules: how many decisions stay and how many change, and to what."""
+    rules = [
+        ("r1", 1, "event_type = 'error'", "retry"), ("r1", 2, "value > 50", "unresolved"),
+        ("r2", 1, "value > 80", "unresolved"), ("r2", 2, "event_type IN ('error', 'view') AND value > 5", "retry"), ("r3", 1, "true", "dead"),
+    ]
+    stored = spark.createDataFrame(rules, "revision string, priority int, condition string, decision string")
+    return N.revalidate(table(spark, sf, "events"), "user_id", "event_id", stored, "r1", "r2").groupBy("old", "new", "changed").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "q149_trace_scan",
+    """WITH w AS (SELECT c_custkey FROM customer WHERE c_nationkey = 7) SELECT trace, o_orderkey, o_custkey FROM (SELECT 'a' AS trace, * FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'b', * FROM orders WHERE o_orderstatus = 'F') WHERE o_custkey IN (SELECT c_custkey FROM w)""",
+)
+def q149(spark, sf):
+    """Two traces in shards, and of both the rows of some customers: shards that none of them hashes to are not read."""
+    at = folder(spark, "traces")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    for trace, kept in (("a", "o_orderstatus <> 'F'"), ("b", "o_orderstatus = 'F'")):
+        S.write_shards(orders.filter(kept).select(F.lit(trace).alias("trace"), "o_orderkey", "o_custkey"), f"{at}/{trace}", "o_custkey", 32)
+    wanted = table(spark, sf, "customer").filter("c_nationkey = 7").select(F.col("c_custkey").alias("o_custkey"))
+    return N.scan_shards(spark, [f"{at}/a", f"{at}/b"], wanted, "o_custkey", 32)

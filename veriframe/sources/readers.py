@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     return good, lines.filter(~F.coalesce(is_object, F.lit(False))).select("file", F.col("value").alias("line"))
 
 
+def numbered_errors(spark: SparkSession, path: str) -> DataFrame:
+    """file, number, line: each line of JSON Lines files that is no JSON object, with its number in the file, from 1.
+
+    Files are split over tasks: lines are counted by split, and each split goes on from the sum of those before it. So no
+    line moves but the bad ones. Blank lines count, but are no errors.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    counts = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("file", "split", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    bad = lines.filter((F.trim("value") != "") & F.json_object_keys("value").isNull())
+    return bad.join(starts, ["file", "split"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("number"), F.col("value").alias("line"))
+
+
 def read_json_or_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An array of objects or JSON Lines, told apart by the first character that is no white space."""
     head = spark.read.text(path).select(F.regexp_extract("value", r"\S", 0).alias("c")).filter("c <> ''").select((F.col("c") == "[").alias("a")).first()
