@@ -153,7 +153,8 @@ def parse_time(c: Column) -> Column:
 
 
 def from_mtime_ns(c: Column) -> Column:
-    return F.timestamp_micros(F.expr("0") + (c / 1000).cast("bigint"))
+    """A time in nanoseconds, in whole microseconds; exact, as no fraction is divided."""
+    return F.timestamp_micros(F.call_function("div", c, F.lit(1000)))
 
 
 def stable_id(c: Column) -> Column:
