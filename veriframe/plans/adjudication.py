@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
@@ -158,3 +158,90 @@ def finalise(passes: DataFrame, key: str, attempt: str, bucket_of: dict[str, Col
     out = tried.withColumn("reason", reason)
     ok = F.col("reason") == ""
     return out.select(key, ok.alias("verified"), "reason", F.when(ok, F.col("rule")).alias("rule"), *[F.when(ok, F.col(f"_trial.{c}")).alias(c) for c in ("view", "model", "price", "screens", "cues", "support")])
+
+
+# Retry reasons ----------------------------------------------------------------------------------------------------------
+
+# Fixed values of the reference: its reasons for another pass, in the order in which it lists them, and when each holds, over
+# the columns that `retry_reasons` documents.
+RETRY_REASONS = [
+    ("evidence_thinking_conflict", "view = '遠景' AND valid AND NOT wide_resolved AND hint <> '遠景' AND ((screens <> 0 AND NOT narrated_count) OR NOT narrated_no_main)"),
+    ("處理失敗", "view = '失敗'"),
+    ("官網未收錄型號需三輪獨立照片證據一致", "unlisted AND NOT photo_consensus"),
+    ("價牌短型號唯一補全需第二輪獨立確認", "prefix_completed AND NOT same_pair_before"),
+    ("型號未通過正式清單驗證", "model_invalid"),
+    ("型號表未載入，屬系統設定錯誤", "catalog_missing"),
+    ("價格欄位互相衝突", "price_conflict AND NOT (family_terminal AND price IS NULL)"),
+    ("品牌敘述與正式型號衝突", "brand_conflict"),
+    ("模型未回傳可信結構化結果", "unstructured"),
+    ("人工確認高風險原圖必須完成三輪獨立複核", "known_risk AND attempt < most"),
+    ("人工確認高風險原圖與模型的視角、完整台數或價牌證據衝突，不得自動驗證", "known_risk AND attempt >= most AND risk_conflict"),
+    ("跨照片重複核心不得以兩輪相同洗白，必須完成第三輪無記憶複核", "cross_photo AND attempt < most"),
+    ("跨照片污染疑慮經三輪仍不得自動驗證，需人工或異構模型複核", "cross_photo AND attempt >= most AND NOT cross_photo_cleared"),
+    ("本輪出現承接前輪答案的污染語句", "attempt >= 2 AND refers_back"),
+    ("結構為單機但敘述明確判為遠景", "view = '單機' AND narrated_distant"),
+    ("寬廣多螢幕陳列缺少可歸屬的單機身分證據", "hint <> '近景' AND weak_wide"),
+    ("標籤歸屬與敘述衝突", "owner = 'matched' AND owner_denied"),
+    ("敘述借用了與主角型號不相容的背景產品系列", "family_borrowed"),
+    ("寬景唯一主角型號跨輪不一致，需完成有界複核", "screens >= 3 AND strong_owned AND other_model_before"),
+    ("2026 同圖獨立輪次價格不一致需完成第三輪定案", "current_year AND view = '單機' AND other_price_before"),
+    ("敘述明確只有一台完整螢幕，結構完整台數必須為1", "narrated_one AND screens <> 1 AND NOT safe_two"),
+    ("敘述指出中央一台且左右鄰機被邊界裁切，完整台數不得填三台以上", "edge_cut"),
+    ("遠景不應帶型號或價格", "view = '遠景' AND (model IS NOT NULL OR price IS NOT NULL)"),
+    ("遠景缺少三台以上完整入鏡證據", "view = '遠景' AND attempt >= most AND NOT valid AND NOT narrated_three"),
+    ("遠景缺少無法鎖定唯一主角規格/價格的證據", "view = '遠景' AND attempt >= most AND NOT valid AND NOT narrated_no_main"),
+    ("2026 單機缺型號", "view = '單機' AND current_year AND model IS NULL AND NOT family_terminal"),
+    ("2026 單機缺價格", "view = '單機' AND current_year AND price IS NULL AND NOT family_terminal"),
+    ("單機結果與三台以上完整陳列衝突", "view = '單機' AND narrated_three AND narrated_no_main AND NOT family_physical"),
+    ("寬景中的 FollowMe 實體需第二輪獨立確認", "view = '單機' AND hint <> '近景' AND screens >= 3 AND family_physical AND attempt = 1 AND NOT family_terminal"),
+    ("寬景單機候選需第二輪確認是否為 FollowMe", "view = '單機' AND hint <> '近景' AND screens >= 3 AND NOT family_physical AND NOT wide_resolved AND NOT strong_owned AND attempt = 1 AND family_possible"),
+    ("沒有 FollowMe 實體證據的三台以上完整螢幕應定案遠景", "view = '單機' AND hint <> '近景' AND screens >= 3 AND NOT family_physical AND NOT wide_resolved AND NOT strong_owned AND NOT (attempt = 1 AND family_possible)"),
+    ("FollowMe 缺少同一實機的物理支架證據", "family_model AND NOT family_physical AND NOT family_excluded"),
+    ("2026 FollowMe 各輪型號與價格不一致，不得自動驗證", "current_year AND attempt > 1 AND (family_model OR family_physical) AND NOT family_excluded AND NOT family_consistent"),
+]
+QUALITY_FINE = ("無", "正常", "None", "null", "")
+QUALITY_REASONS = {"遠景": "遠景與畫質標記需再確認:", "單機": "單機仍有品質疑慮:"}
+NO_DISTANT_CONSENSUS = "三輪遠景判斷未達一致"
+#: The columns that conditions name: booleans, of which null counts as false, and others.
+RETRY_FLAGS = (
+    "valid", "wide_resolved", "narrated_count", "narrated_no_main", "unlisted", "photo_consensus", "prefix_completed", "same_pair_before", "model_invalid", "catalog_missing", "price_conflict", "family_terminal",
+    "brand_conflict", "unstructured", "known_risk", "risk_conflict", "cross_photo", "cross_photo_cleared", "refers_back", "narrated_distant", "weak_wide", "owner_denied", "family_borrowed", "strong_owned", "other_model_before",
+    "current_year", "other_price_before", "narrated_one", "safe_two", "edge_cut", "narrated_three", "family_physical", "family_possible", "family_model", "family_excluded", "family_consistent",
+)
+
+
+def retry_reasons(passes: DataFrame, key: str, attempt: str, most: int = 3) -> DataFrame:
+    """passes with `reasons` and `decision`: retry (some reason, attempts left), unresolved (none left) or verified.
+
+    Columns: view, model, price, quality, hint, owner (texts, model and price null if there is none), screens, contract_reasons
+    (an array, of a pass that is not valid), and those of RETRY_FLAGS that there are; others count as false. A distant pass at
+    the last attempt without any reason must follow on distant ones alone, or it is unresolved.
+    """
+    flags = {f: F.coalesce(F.col(f), F.lit(False)) if f in passes.columns else F.lit(False) for f in RETRY_FLAGS}
+    seen = passes.withColumns(flags | {"attempt": F.col(attempt), "most": F.lit(most), "hint": F.coalesce("hint", F.lit("")), "quality": F.coalesce("quality", F.lit(""))})
+    listed = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(when), F.lit(False)), F.lit(reason)) for reason, when in RETRY_REASONS]))
+    doubt = F.coalesce(*[F.when((F.col("view") == v) & ~F.col("quality").isin(*QUALITY_FINE), F.concat(F.lit(label), "quality")) for v, label in QUALITY_REASONS.items()])
+    contract = F.when(~F.col("valid"), F.coalesce("contract_reasons", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    before = Window.partitionBy(key).orderBy(attempt).rowsBetween(1 - most, 0)
+    alone = (F.count_if(F.col("view") == DISTANT).over(before) < most) & (F.col("view") == DISTANT) & (F.col("attempt") >= most) & ~F.col("wide_resolved")
+    found = seen.withColumn("_found", F.array_distinct(F.concat(contract, listed, F.array_compact(F.array(doubt))))).withColumn("_alone", alone)
+    reasons = F.when((F.size("_found") == 0) & F.col("_alone"), F.array(F.lit(NO_DISTANT_CONSENSUS))).otherwise(F.col("_found"))
+    out = found.withColumn("reasons", reasons)
+    decision = F.when((F.size("reasons") > 0) & (F.col("attempt") < most), "retry").when((F.size("reasons") > 0) | ~F.col("valid"), "unresolved").otherwise("verified")
+    return out.select(*[F.col(c) for c in passes.columns if c != "reasons"], "reasons", decision.alias("decision"))
+
+
+# Benchmarks -------------------------------------------------------------------------------------------------------------
+
+
+def dangers(tags: Column, expected_view: Column, expected_model: Column, view: Column, model: Column) -> Column:
+    """The classes of dangerous errors that a prediction falls into, by its case's tags: a distant view taken for another, a
+    family's unit taken for a distant view, a model made up. No prediction of a field is no error of this kind."""
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    tagged = lambda *t: F.arrays_overlap(tags, F.array(*map(F.lit, t)))
+    rules = [
+        (tagged("distant_view") & given(view) & ~view.eqNullSafe(expected_view), "distant_view_misclassification"),
+        (tagged("followme", "followme_pro") & view.isin(DISTANT, "distant_view"), "followme_misclassification"),
+        (tagged("hallucination_guard") & given(model) & ~model.eqNullSafe(expected_model), "model_hallucination"),
+    ]
+    return T.add_if(*[(F.coalesce(c, F.lit(False)), name) for c, name in rules])

@@ -229,3 +229,46 @@ def q149(spark, sf):
         S.write_shards(orders.filter(kept).select(F.lit(trace).alias("trace"), "o_orderkey", "o_custkey"), f"{at}/{trace}", "o_custkey", 32)
     wanted = table(spark, sf, "customer").filter("c_nationkey = 7").select(F.col("c_custkey").alias("o_custkey"))
     return N.scan_shards(spark, [f"{at}/a", f"{at}/b"], wanted, "o_custkey", 32)
+
+
+_BITS = {f: (3 + i % 11, i % 3) for i, f in enumerate(A.RETRY_FLAGS)}
+_SEEN = ", ".join(f"(user_id + event_id // 7) % {m} = {r} AS {f}" for f, (m, r) in _BITS.items() if f != "valid")
+_FIELDS = f"""SELECT user_id AS k, event_id, CASE WHEN user_id % 3 = 0 THEN '{A.DISTANT}' WHEN event_id % 29 = 0 THEN '失敗' ELSE '{A.SINGLE}' END AS view, CASE WHEN event_id % 5 = 0 AND user_id % 3 > 0 THEN event_type END AS model,
+    CASE WHEN event_id % 10 = 0 AND user_id % 3 > 0 THEN 'p' END AS price, CASE event_id % 13 WHEN 0 THEN '模糊' WHEN 1 THEN '正常' END AS quality, CASE event_id % 7 WHEN 0 THEN '近景' WHEN 1 THEN '{A.DISTANT}' END AS hint,
+    CASE WHEN event_id % 2 = 0 THEN 'matched' ELSE 'other' END AS owner, CAST(event_id % 5 AS INT) AS screens, event_id % 4 > 0 AS valid"""
+
+
+@query(
+    "q159_retry_reasons",
+    f"""WITH p AS ({_FIELDS}, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth, {_SEEN} FROM events), f AS (SELECT *, ((nth - 1) % 3 + 1)::INT AS attempt, (nth - 1) // 3 AS run, 3 AS most FROM p),
+    c AS (SELECT * REPLACE (coalesce(hint, '') AS hint, coalesce(quality, '') AS quality), {", ".join(f"({w}) AS r{i}" for i, (_, w) in enumerate([(r, w.replace("hint <>", "coalesce(hint, '') <>")) for r, w in A.RETRY_REASONS]))} FROM f),
+    d AS (SELECT *, list_distinct_kept AS found FROM (SELECT *, list_filter([CASE WHEN NOT valid THEN 'contract' END, {", ".join(f"CASE WHEN r{i} THEN '{r}' END" for i, (r, _) in enumerate(A.RETRY_REASONS))},
+             CASE WHEN view = '{A.DISTANT}' AND quality NOT IN {A.QUALITY_FINE} THEN '{A.QUALITY_REASONS[A.DISTANT]}' || quality WHEN view = '{A.SINGLE}' AND quality NOT IN {A.QUALITY_FINE} THEN '{A.QUALITY_REASONS[A.SINGLE]}' || quality END], lambda x: x IS NOT NULL) AS list_distinct_kept FROM c)),
+    e AS (SELECT *, CASE WHEN len(found) = 0 AND view = '{A.DISTANT}' AND attempt >= 3 AND NOT wide_resolved AND count(*) FILTER (view = '{A.DISTANT}') OVER (PARTITION BY k, run) < 3 THEN ['{A.NO_DISTANT_CONSENSUS}'] ELSE found END AS reasons FROM d)
+    SELECT event_id, array_to_string(reasons, ';') AS reasons, CASE WHEN len(reasons) > 0 AND attempt < 3 THEN 'retry' WHEN len(reasons) > 0 OR NOT valid THEN 'unresolved' ELSE 'verified' END AS decision FROM e""",
+)
+def q159(spark, sf):
+    """Three passes after the other of each user, with made-up findings, and the reasons for another pass that follow."""
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    seen = _SEEN.replace("//", "DIV")
+    df = spark.sql(f"{_FIELDS.replace('//', 'DIV')}, user_id, {seen} FROM {{events}}", events=table(spark, sf, "events")).withColumn("_n", nth - 1)
+    df = df.withColumns({"nth": (F.col("_n") % 3 + 1).cast("int"), "run": F.struct("k", F.floor(F.col("_n") / 3)), "contract_reasons": F.array(F.lit("contract"))})
+    out = A.retry_reasons(df, "run", "nth")
+    return out.select("event_id", F.array_join("reasons", ";").alias("reasons"), "decision")
+
+
+@query(
+    "q160_danger_classes",
+    f"""WITH c AS (SELECT event_id, event_type IN ('view', 'click') AS far, event_type = 'error' AS family, user_id % 2 = 0 AS guard, CASE user_id % 4 WHEN 0 THEN '{A.DISTANT}' WHEN 1 THEN '{A.SINGLE}' WHEN 2 THEN 'distant_view' END AS view, CASE user_id % 3 WHEN 0 THEN 'M1' WHEN 1 THEN '' END AS model FROM events),
+    d AS (SELECT event_id, list_filter([CASE WHEN far AND view <> '{A.DISTANT}' THEN 'distant_view_misclassification' END, CASE WHEN family AND view IN ('{A.DISTANT}', 'distant_view') THEN 'followme_misclassification' END, CASE WHEN guard AND model <> '' THEN 'model_hallucination' END], lambda x: x IS NOT NULL) AS d FROM c)
+    SELECT array_to_string(d, ',') AS dangers, len(d) > 0 AS dangerous, count(*) AS n FROM d GROUP BY ALL""",
+)
+def q160(spark, sf):
+    """Predictions by the dangerous errors that their cases' tags make of them."""
+    c = F.col
+    tags = F.array_compact(F.array(F.when(c("event_type").isin("view", "click"), "distant_view"), F.when(c("event_type") == "error", "followme_pro"), F.when(c("user_id") % 2 == 0, "hallucination_guard")))
+    view = F.when(c("user_id") % 4 == 0, A.DISTANT).when(c("user_id") % 4 == 1, A.SINGLE).when(c("user_id") % 4 == 2, "distant_view")
+    model = F.when(c("user_id") % 3 == 0, "M1").when(c("user_id") % 3 == 1, "")
+    found = A.dangers(tags, F.lit(A.DISTANT), F.lit(None).cast("string"), view, model)
+    marked = table(spark, sf, "events").select(found.alias("d"))
+    return marked.groupBy(F.array_join("d", ",").alias("dangers"), (F.size("d") > 0).alias("dangerous")).agg(F.count(F.lit(1)).alias("n"))
