@@ -112,9 +112,21 @@ def test_events_fold(spark):
     assert got == [(1, "user", "hey"), (2, "assistant", "Good day"), (4, "user", "only")]
 
 
+def test_streamed_logs_fold_into_the_same_messages(spark):
+    texts = [*TEXTS, "ab", "a", "\U0001f600x\U0001f600", "long " * 200_000]
+    rows = [(i % 4, j, r, t) for j, t in enumerate(texts) for i, r in enumerate(("user", "assistant", None, "odd\nrole"))]
+    table = spark.createDataFrame([*rows, (None, None, "assistant", "x"), (None, None, "assistant", "x")], "conv_id long, turn long, role string, text string").withColumns({"seq": F.lit(9), "kind": F.lit("clash")})
+    log = C.as_streamed_events(table)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate"}
+    fold = lambda events: sorted(((r["conv_id"] is None, r["conv_id"]), r["message"], r["role"], r["text"]) for r in C.fold_events(events).collect())
+    got = fold(log)
+    assert got == fold(C.as_events(table)) and len(got) == len(rows) + 2
+    assert C.as_streamed_events(table.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_escape_is_reversible(spark, seed):
-    @settings(max_examples=1, deadline=None)
+    @settings(max_examples=12, deadline=None)
     @given(st.lists(st.text(alphabet="<|\\a\n", max_size=12), min_size=40, max_size=40))
     def run(texts):
         df = spark.createDataFrame([(t,) for t in texts], "t string")

@@ -45,6 +45,26 @@ def as_events(rows: DataFrame, order_col: str = "turn") -> DataFrame:
     )
 
 
+def as_streamed_events(rows: DataFrame, order_col: str = "turn") -> DataFrame:
+    """A log as a chat service writes it, that folds into the same messages: texts come in parts, and not all at first hand.
+
+    Of every three messages of a conversation the first is streamed in deltas, the second is begun, thrown away and
+    regenerated, and the third is begun with other text, edited and gone on with. Only a message's first event has its role.
+    """
+    placed = as_events(rows, order_col).withColumn("text", F.coalesce("text", F.lit("")))
+    n = F.length("text")
+    part = lambda a, b: F.substring(F.col("text"), F.floor(n * a / 3).cast("int") + 1, F.floor(n * b / 3).cast("int") - F.floor(n * a / 3).cast("int"))
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(k).alias("kind"), (F.col("role") if i == 0 else F.lit(None).cast("string")).alias("role"), t.alias("text")) for i, (k, t) in enumerate(events)])
+
+    streamed = log(("start", F.lit("")), ("delta", part(0, 1)), ("delta", part(1, 2)), ("delta", part(2, 3)))
+    again = log(("start", part(1, 3)), ("delta", part(0, 2)), ("regenerate", part(0, 1)), ("delta", part(1, 3)))
+    edited = log(("start", part(0, 1)), ("delta", F.lit("?")), ("edit", part(0, 2)), ("delta", part(2, 3)))
+    kind = F.col("message") % 3
+    return placed.select("conv_id", "message", F.explode(F.when(kind == 1, streamed).when(kind == 2, again).otherwise(edited)).alias("e")).select("conv_id", "message", "e.*")
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """Messages from an event log: conv_id, message, role, text.
 

@@ -77,9 +77,10 @@ FROM f
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as logs of starts, deltas, edits and regenerations, folded, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = spark.createDataFrame([(-1, 0, "user", MARKED), (-1, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
-    messages = chat_format.fold_events(chat_format.as_events(rows.unionByName(marked)))
+    messages = chat_format.fold_events(chat_format.as_streamed_events(rows.unionByName(marked)))
     return chat_format.digests(chat_format.read_back(chat_format.render(messages)))
 
 
