@@ -189,6 +189,42 @@ def test_html_bare_text_in_hand_written_layouts():
     assert got == [" ".join(["Bridge closed", a, b, c])] * len(pages)
 
 
+def test_html_empty_comments_and_deep_pages():
+    import time
+
+    trees = H.train(200)
+    article = "<article><h1>Bridge closed</h1><p>The bridge over the river was closed on Monday, the city said.</p><p>Repairs will take six weeks, and buses go round.</p></article>"
+    nav, foot = '<nav><a href="/">Home</a></nav>', "<footer>&copy; x</footer>"
+    want = H.texts_of(trees, [f"<body>{nav}{article}{foot}</body>"])[0]
+    assert want.endswith("buses go round.")
+    for comment in ("<!-->", "<!--->", "<!---->", "<!-- a --!>", "<!-- > -->"):
+        assert H.texts_of(trees, [f"<body>{nav}{comment}{article}{foot}</body>"]) == [want]
+    began = time.time()
+    assert len(H.Page("<div>" * 100_000 + "x" + "</div>" * 100_000).tag) == 100_001
+    assert time.time() - began < 10
+
+
+def test_html_decoding_against_all_trees():
+    """On small trees, decoding is held against every set of blocks that is closed upwards."""
+    import itertools
+
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        n = int(rng.integers(2, 9))
+        page = H.Page("")
+        page.tag = [H._TAGS["html"]] + [H._TAGS["div"]] * (n - 1)
+        page.parent = [-1] + [int(rng.integers(0, i)) for i in range(1, n)]
+        page.hint = [0] * n
+        scores = rng.normal(size=n)
+        kept = H.Forest([page]).decode(scores)
+        best = max(
+            (sum(scores[i] for i in range(1, n) if k[i]), k)
+            for k in itertools.product([False, True], repeat=n)
+            if k[0] and all(k[page.parent[i]] for i in range(1, n) if k[i])
+        )
+        assert tuple(kept) == best[1]
+
+
 def test_html_edges(spark):
     trees = H.train(300)
     body = "".join(f"<p>A sentence of some words, number {i}, stands here for all to read.</p>" for i in range(8))

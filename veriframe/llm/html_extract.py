@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,7 +53,7 @@ _ENDS_P = frozenset(BLOCKS) - {"html", "body"}
 _SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S
 )
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -107,6 +108,7 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, names = [0], ["html"]
+        held = Counter()  # how many elements of each name are open, but for the outermost
         at, link, gap = 0, False, True
         n = len(source)
         silent: list[str] = []  # open silent elements, and the blocks within them
@@ -136,7 +138,7 @@ class Page:
                         pass
                     continue
                 # The end of a block around a silent element ends it, as does a new block if it has no end tag.
-                if name == "body" or (name in names if closing else loose and name in _TAGS):
+                if name == "body" or (name == "html" or held[name] if closing else loose and name in _TAGS):
                     silent.clear()
                 elif not closing and not attributes.endswith("/"):
                     if name in RAW:
@@ -164,29 +166,35 @@ class Page:
             gap = True
             edge += 1
             if closing:
-                if name in names[1:]:
-                    while names[-1] != name:
-                        names.pop(), stack.pop()
-                    names.pop(), stack.pop()
+                if held[name]:
+                    while True:
+                        ended = names.pop()
+                        stack.pop()
+                        held[ended] -= 1
+                        if ended == name:
+                            break
                 link = False
                 continue
             if name in ("html", "body"):
                 self.hint[0] |= hints_of(attributes) & ~_HINT["hidden"]
                 continue
             if name in _ENDS_P and names[-1] == "p":
-                names.pop(), stack.pop()
+                held[names.pop()] -= 1
+                stack.pop()
             if name in _SAME:
                 kinds, within = _SAME[name]
                 i = len(names) - 1
                 while i > 0 and names[i] not in within and names[i] not in kinds:
                     i -= 1
                 if i > 0 and names[i] in kinds:
+                    held.subtract(names[i:])
                     del names[i:], stack[i:]
             self.tag.append(_TAGS[name])
             self.parent.append(stack[-1])
             self.hint.append(hints_of(attributes) if attributes else 0)
             stack.append(len(self.tag) - 1)
             names.append(name)
+            held[name] += 1
             link = False
         self._set_runs(edges, started)
 
