@@ -107,3 +107,28 @@ def test_disagreement_is_with_the_set_of_earlier_models(spark):
     flagged = lambda **kw: sorted((r["k"], r["o"]) for r in C.disagreements(df, "k", "o", "model", "price", **kw).filter("disagrees").collect())
     assert flagged() == [("a", 2), ("a", 4), ("a", 5), ("b", 2), ("b", 4)]
     assert flagged(owned=df["owned"], bound=df["o"] > 2) == [("a", 2), ("a", 4)]
+
+
+def test_previous_row_over_ranges(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a"] * 8 + ["b", None]), i, rng.randrange(9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, o int, v int").repartition(7)
+    got = {(r["k"], r["o"]): r["p"] and r["p"]["v"] for r in R.previous_row(df, "k", ["o"], ["v"], "p").collect()}
+    last, want = {}, {}
+    for k, o, v in rows:
+        want[k, o] = last.get(k)
+        last[k] = v
+    assert got == want
+    assert R.previous_row(df.limit(0), "k", ["o"], ["v"], "p").count() == 0
+
+
+def test_no_group_is_in_two_splits(spark):
+    df = spark.range(400).select((F.col("id") % 150).alias("u"), "id", F.when(F.col("id") % 150 % 13 > 0, F.col("id") % 150 % 13).alias("g"))
+    rows = R.dataset_splits(df, "u", ["id"], "g").collect()
+    assert len(rows) == 150 and all(r["u"] == r["id"] for r in rows)
+    of = {}
+    for r in rows:
+        of.setdefault(r["g"], set()).add(r["split"])
+    assert all(len(s) == 1 for s in of.values()) and {"train"} < set().union(*of.values())

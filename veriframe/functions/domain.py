@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veriframe.functions import text as T
-from veriframe.functions.folds import let
+from veriframe.functions.folds import json_objects, let
 
 
 def alias(c: Column, names: dict[str, str]) -> Column:
@@ -89,6 +89,19 @@ def monologue(c: Column, least: int = 10, line_least: int = 15) -> Column:
     return let(strip(F.coalesce(c, F.lit(""))), lambda t: F.coalesce(behind(t), nearest(t), F.lit("")))
 
 
+# Fixed values of the reference: field names with a colon or equals sign, and phrases of instructions.
+RAW_FIELDS = r"""(?i)["']?(?:view_type|category|model|price|quality_issue|screen_status|complete_screen_count|unique_main|label_ownership|followme_physical_evidence|guard_decision|raw_model_output)["']?\s*[:=]"""
+INSTRUCTIONS = r"(?i)送出前(?:最後)?檢查|必須(?:填入|加入|逐項寫入)|禁止(?:輸出|說它)|不得(?:敘述|抄寫)|線索時禁止|followme_physical_evidence\s*不得|(?:最終|重新)?(?:校正|修正|更正)(?:後|結果|為|：|:)"
+
+
+def narration_faults(c: Column) -> Column:
+    """What a narration holds that is none: `raw_structure` (a fence before a bracket, a field with its sign, or any JSON object
+    or array that parses) and `instruction_echo` (phrases of instructions). Null texts hold nothing."""
+    arrays = F.exists(F.regexp_extract_all(c, F.lit(r"\[[^\[\]]*\]"), F.lit(0)), lambda x: F.try_parse_json(x).isNotNull())
+    raw = c.rlike(r"(?i)```\s*(?:json)?\s*[\[{]") | c.rlike(RAW_FIELDS) | arrays | (F.size(json_objects(c)) > 0)
+    return T.add_if((F.coalesce(raw, F.lit(False)), "raw_structure"), (F.coalesce(c.rlike(INSTRUCTIONS), F.lit(False)), "instruction_echo"))
+
+
 def normalise_evidence(c: Column, valid: list[str], weak: list[str]) -> Column:
     """Evidence structs (cue, strength) with a valid cue, the first of each cue; weak cues are made weak."""
     kept = F.filter(c, lambda e: e["cue"].isin(*valid))

@@ -286,6 +286,38 @@ def running_sum(rows: DataFrame, order: Sequence[str], value: str, name: str) ->
     return ranged.withColumn("_within", within).join(F.broadcast(starts), "_range").withColumn(name, F.col("_within") + F.col("_start")).drop("_range", "_within", "_start")
 
 
+def previous_row(rows: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
+    """rows with `name`, a struct of the columns of the row before of the same key in the given total order; null for the first.
+
+    Rows are dealt out by ranges of key and order, so that a key with most of the rows lies in many tasks; only the first row
+    of a key in a range looks over the border, to the last row of that key in a range before. Null keys are one key.
+    """
+    from veriframe.sources.readers import shared_folder
+
+    spark = rows.sparkSession
+    shared_folder(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, key, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    w = Window.partitionBy("_range", key).orderBy(*order)
+    lasts = ranged.groupBy("_range", F.col(key).alias("_key")).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"))  # a row for each range, about
+    over = lasts.withColumn("_before", F.lag("_last").over(Window.partitionBy("_key").orderBy("_range"))).select(F.col("_range").alias("_r"), "_key", "_before")
+    placed = ranged.withColumns({"_own": F.lag(F.struct(*columns)).over(w), "_nth": F.row_number().over(w)})
+    joined = placed.join(over, (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.withColumn(name, F.when(F.col("_nth") == 1, F.col("_before")).otherwise(F.col("_own"))).drop("_range", "_own", "_nth", "_r", "_key", "_before")
+
+
+def class_sums(groups: DataFrame, count: str, classes: dict[str, Column]) -> DataFrame:
+    """class, total: how many rows the grouped counts of each class add up to; a group may be in several classes, or none."""
+    sums = groups.agg(*[F.coalesce(F.sum(F.when(F.coalesce(c, F.lit(False)), F.col(count))), F.lit(0)).alias(n) for n, c in classes.items()])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("class"), F.col(n).cast("long").alias("total")) for n in classes])).alias("c")).select("c.*")
+
+
+def dataset_splits(rows: DataFrame, unit: str, order: Sequence[str], group: str, ratios: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
+    """The first row of each unit by order, with the split of its group: units come once, and no group is in two splits."""
+    kept = first_by(rows, [unit], order)
+    return kept.join(hash_split(kept, group, ratios).select(F.col(group).alias("_group"), "split"), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """rows with `name`, 1, 2, ... in the given total order over all rows."""
     return running_sum(rows.withColumn("_one", F.lit(1)), order, "_one", name).withColumn(name, F.col(name) + 1).drop("_one")

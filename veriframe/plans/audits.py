@@ -112,7 +112,7 @@ def q54(spark, sf):
     return C.crossed_threshold(status.withColumn("total", F.col("processed")), "processed", "total", "last", 50).select("l_suppkey", "threshold")
 
 
-_DECIDED = """SELECT conv_id, turn + 1 AS attempt, CASE WHEN length(text) > 400 THEN 'distant' ELSE 'single' END AS view, (contains(text, 'the') OR text IS NULL) AS bad FROM conversations WHERE turn < 3"""
+_DECIDED = """SELECT conv_id, turn + 1 AS attempt, CASE WHEN length(text) > 400 THEN 'distant' ELSE 'single' END AS view, (contains(text, 'the') OR text IS NULL) AS bad FROM conversations"""
 
 
 @query(
@@ -122,7 +122,7 @@ _DECIDED = """SELECT conv_id, turn + 1 AS attempt, CASE WHEN length(text) > 400
 )
 def q55(spark, sf):
     view = F.when(F.length("text") > 400, "distant").otherwise("single")
-    rows = table(spark, sf, "conversations").filter("turn < 3").select("conv_id", (F.col("turn") + 1).alias("attempt"), view.alias("view"), T.add_if((F.col("text").contains("the") | F.col("text").isNull(), "bad")).alias("reasons"))
+    rows = table(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).alias("attempt"), view.alias("view"), T.add_if((F.col("text").contains("the") | F.col("text").isNull(), "bad")).alias("reasons"))
     return C.decide(rows, "conv_id", "attempt", "reasons").groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 

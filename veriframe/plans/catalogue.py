@@ -306,9 +306,8 @@ def q25(spark, sf):
 )
 def q26(spark, sf):
     """Events whose whole value equals the one before of their type, by another user."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").withColumn("v", F.floor("value"))
-    flagged = e.withColumn("p", F.lag(F.struct("v", "user_id")).over(w)).filter((F.col("v") == F.col("p.v")) & (F.col("user_id") != F.col("p.user_id")))
+    e = table(spark, sf, "events").select("event_type", "ts", "event_id", "user_id", F.floor("value").alias("v"))
+    flagged = R.previous_row(e, "event_type", ["ts", "event_id"], ["v", "user_id"], "p").filter((F.col("v") == F.col("p.v")) & (F.col("user_id") != F.col("p.user_id")))
     return flagged.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -501,7 +500,7 @@ def q42(spark, sf):
     return found.select("event_id", F.size("found").alias("objects"), F.get("found", F.lit(0)).alias("first"))
 
 
-_USERS = "(SELECT DISTINCT user_id FROM events WHERE event_type = '{}' AND value < 3)"
+_USERS = "(SELECT DISTINCT user_id, day(ts) FROM events WHERE event_type = '{}')"
 
 
 @query(
@@ -511,8 +510,8 @@ _USERS = "(SELECT DISTINCT user_id FROM events WHERE event_type = '{}' AND value
         UNION ALL SELECT 'intersection', count(*) FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'symmetric', count(*) FROM ((FROM a EXCEPT FROM b) UNION ALL (FROM b EXCEPT FROM a))""",
 )
 def q43(spark, sf):
-    e = table(spark, sf, "events").filter("value < 3")
-    a, b = (e.filter(F.col("event_type") == t).select("user_id").distinct() for t in ("error", "purchase"))
+    e = table(spark, sf, "events")
+    a, b = (e.filter(F.col("event_type") == t).select("user_id", F.dayofmonth("ts")).distinct() for t in ("error", "purchase"))
     parts = {"union": a.union(b).distinct(), "difference": a.exceptAll(b), "intersection": a.intersect(b), "symmetric": a.exceptAll(b).unionByName(b.exceptAll(a))}
     out = None
     for name, frame in parts.items():

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veriframe.functions import domain as D
 from veriframe.functions import folds
 from veriframe.functions import text as T
+from veriframe.operators import relational as R
 from veriframe.operators import rules as S
 from veriframe.plans.catalogue import table
 from veriframe.plans.exhibits import folder
@@ -144,3 +146,42 @@ def q158(spark, sf):
     arrays.unionByName(broken).write.partitionBy("n_regionkey").text(at)
     read = readers.read_json(spark, f"{at}/*/*.txt", "n_nationkey long, n_name string")
     return read.filter("_corrupt_record IS NULL").select("n_nationkey", "n_name")
+
+
+@query(
+    "q161_narration_faults",
+    """SELECT event_id, CASE user_id % 9 WHEN 0 THEN 'raw_structure' WHEN 1 THEN '' WHEN 2 THEN 'raw_structure' WHEN 3 THEN 'instruction_echo' WHEN 4 THEN 'raw_structure' WHEN 5 THEN 'raw_structure,instruction_echo' WHEN 6 THEN 'raw_structure' ELSE '' END AS faults FROM events""",
+)
+def q161(spark, sf):
+    """Narrations with JSON, fields, fences or instructions in them, and plain ones."""
+    told = {
+        0: F.concat(F.lit("I see "), "props"), 1: F.concat(F.lit("I see {k} and [k "), "event_type"), 2: F.lit('so "Price" = 5'), 3: F.concat(F.lit("不得抄寫 "), "event_type"), 4: F.lit("``` JSON\n [x"),
+        5: F.lit("followme_physical_evidence: 更正後"), 6: F.lit("the list [1, 2] of [them"), 7: F.lit("a model of clarity, its price is fine"),
+    }
+    text = F.coalesce(*[F.when(F.col("user_id") % 9 == i, c) for i, c in told.items()])
+    return table(spark, sf, "events").select("event_id", F.array_join(D.narration_faults(text), ",").alias("faults"))
+
+
+_CLASSES = {"metal": "p_type LIKE '%STEEL%' OR p_type LIKE '%BRASS%'", "small": "p_size < 10", "branded": "p_brand LIKE '%1'", "other": "p_size >= 40 AND p_type NOT LIKE '%STEEL%'"}
+
+
+@query(
+    "q162_class_sums",
+    f"""WITH g AS (SELECT p_type, p_brand, p_size, count(*) AS n FROM part GROUP BY ALL) SELECT class, total::BIGINT AS total FROM (SELECT {", ".join(f"coalesce(sum(n) FILTER ({c}), 0) AS {n}" for n, c in _CLASSES.items())} FROM g) UNPIVOT (total FOR class IN ({", ".join(_CLASSES)}))""",
+)
+def q162(spark, sf):
+    """How many parts there are of classes that overlap, from counts by type, brand and size."""
+    groups = table(spark, sf, "part").groupBy("p_type", "p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"))
+    return R.class_sums(groups, "n", {n: F.expr(c) for n, c in _CLASSES.items()})
+
+
+@query(
+    "q163_dataset_splits",
+    """WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders), k AS (SELECT o_custkey, o_orderkey, o_custkey % 97 AS g FROM o WHERE r = 1),
+       c AS (SELECT g, count(*) AS n FROM k GROUP BY 1), s AS (SELECT g, coalesce(sum(n) OVER (ORDER BY sha256(g::VARCHAR), g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER () AS t FROM c)
+       SELECT o_custkey, o_orderkey, CASE WHEN b < 0.8 * t THEN 'train' WHEN b < (0.8 + 0.1) * t THEN 'dev' ELSE 'holdout' END AS split FROM k JOIN s USING (g)""",
+)
+def q163(spark, sf):
+    """The first order of each customer, split so that no group of customers is in two splits."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_custkey") % 97).alias("g"))
+    return R.dataset_splits(orders, "o_custkey", ["o_orderkey"], "g").select("o_custkey", "o_orderkey", "split")
