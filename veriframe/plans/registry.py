@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 def _load() -> None:
     import importlib
 
-    for module in ("catalogue", "audits", "exhibits", "replays", "scalars"):
+    for module in ("catalogue", "audits", "exhibits", "replays", "scalars", "workflows"):
         importlib.import_module(f"veriframe.plans.{module}")
 
 
