@@ -185,3 +185,17 @@ def q163(spark, sf):
     """The first order of each customer, split so that no group of customers is in two splits."""
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_custkey") % 97).alias("g"))
     return R.dataset_splits(orders, "o_custkey", ["o_orderkey"], "g").select("o_custkey", "o_orderkey", "split")
+
+
+_PAGE = """CASE p_partkey % 6 WHEN 0 THEN 'ab<b>ls' || p_partkey || 'exzw</b> from nt$ 12,' || (100 + p_size) || ' NT$5' WHEN 1 THEN 'LS' || p_partkey || 'EXZW at NT$ 900, LS' || p_partkey || 'E now' WHEN 2 THEN 'a LS' || p_partkey || 'E: NT$' || (2000 + p_size)
+    WHEN 3 THEN 'NT$3,000 before LS' || p_partkey || 'EXZW <script type="application/ld+json">{"offers": {"price": "' || p_size || '.9"}}</script>' WHEN 4 THEN 'NT$ 4,000 for all' ELSE '' END"""
+
+
+@query(
+    "q168_page_cascade",
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 12100 + p_size WHEN 2 THEN 2000 + p_size WHEN 3 THEN p_size END::INT AS price FROM part""",
+)
+def q168(spark, sf):
+    """Prices on pages by model: behind the full name, the short name, or in the structured data; none where the amount is too low or stands before."""
+    short = F.concat(F.lit("LS"), F.col("p_partkey").cast("string"), F.lit("E"))
+    return table(spark, sf, "part").select("p_partkey", readers.page_price(F.expr(_PAGE), F.concat(short, F.lit("XZW")), short).alias("price"))

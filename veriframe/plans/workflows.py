@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from veriframe.functions import domain as D
 from veriframe.functions import text as T
 from veriframe.operators import relational as R
-from veriframe.operators import rules as S
 from veriframe.plans.catalogue import table
 from veriframe.plans.exhibits import folder
 from veriframe.plans.registry import query

@@ -147,3 +147,19 @@ def prices_in(html: Column, low: int = 5000, high: int = 30_000) -> Column:
     found = F.regexp_extract_all(html, F.lit(r"(?i)(?:NT\$|\$|＄|price|售價|特價)[^0-9]{0,6}([0-9][0-9,]{3,8})"), F.lit(1))
     numbers = F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("int"))
     return F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n.between(low, high))))
+
+
+def page_price(html: Column, full: Column, short: Column, low: int = 1000, high: int = 100_000) -> Column:
+    """A model's price on a page, by the first rule that gives one: the first NT$ amount behind the full model name, behind the
+    short one, behind the short one's first eight characters, each if it lies between low and high; else the offer's price
+    in the page's structured data, whatever it is. Letters match in either case; null without any."""
+    upper = F.upper(html)
+
+    def behind(token: Column) -> Column:
+        at = F.call_function("instr", upper, F.upper(token))
+        amount = F.replace(F.regexp_extract(F.substring(html, at, F.length(html)), r"(?i)NT\$\s*([0-9,]+)", 1), F.lit(","), F.lit("")).try_cast("int")
+        return F.when((at > 0) & (token != "") & (amount > low) & (amount < high), amount)
+
+    data = F.regexp_extract(html, r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)
+    offer = F.get_json_object(data, "$.offers.price").try_cast("double").cast("int")
+    return F.coalesce(behind(full), behind(short), behind(F.substring(short, 1, 8)), offer)
