@@ -105,3 +105,16 @@ def test_final_rows_roll_back(spark):
     pair = spark.createDataFrame([one("y", 1, "M", 9), (*one("y", 2, "M", 9)[:10], ["three_pass_zero_screen_scene_consensus"], "h"), (*one("y", 3, "M", 9)[:10], ["three_pass_zero_screen_scene_consensus"], "h")], schema)
     out = {r["k"]: r["reason"] for r in A.finalise(erased.unionByName(pair), "k", "n", of, "flags", F.lit(True), "image").collect()}
     assert out == {"z": "", "y": A.ERASED}
+
+
+def test_injected_functions(spark):
+    from veriframe.operators import injected as J
+
+    df = spark.createDataFrame([(1, "a", None), (2, None, 1.5), (3, "c", 2.0)], "k int, error string, v double")
+    one = J.map_rows(df, lambda row: {"k": row["k"] * 2, "n": None if row["v"] is None else str(1 / (row["v"] - 2))}, "k long, n string")
+    got = sorted(one.collect(), key=lambda r: (r["v"] is not None, r["v"]))
+    assert [(r["k"], r["v"], r["n"], r["error"]) for r in got] == [(2, None, None, None), (4, 1.5, "-2.0", None), (None, 2.0, None, "ZeroDivisionError: float division by zero")] or got[2]["error"].startswith("ZeroDivisionError")
+    assert J.map_rows(df.limit(0), lambda row: {}, "x int").count() == 0
+    passes = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, None)], "k string, n int, v string")
+    out = J.decide_rows(passes, "k", "n", lambda r, n, h: f"{r['v']}{n}{len(h)}").collect()
+    assert sorted(r["decision"] for r in out) == ["None10", "x10", "y21"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import domain as D
 from veriframe.functions import text as T
+from veriframe.operators import injected as J
 from veriframe.operators import relational as R
 from veriframe.plans.catalogue import table
 from veriframe.plans.exhibits import folder
@@ -157,3 +158,35 @@ def q167(spark, sf):
         one = migrate_trace(spark, f"{at}/{path}", "s_suppkey long, s_nationkey int", candidates, "s_suppkey", "n_name", f"{at}/target").select(F.lit(run).alias("run"), "*")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(
+    "q169_row_function",
+    """SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN upper(p_brand) || '/' || p_size END AS tag, CASE WHEN p_size % 7 > 0 THEN (p_size * 3)::BIGINT END AS tripled, CASE WHEN p_size % 7 = 0 THEN 'ValueError: size ' || p_size END AS error FROM part""",
+)
+def q169(spark, sf):
+    """A function of the user's for each part; where it raises, the row says so."""
+
+    def tagged(row, context):
+        if row["p_size"] % 7 == 0:
+            raise ValueError(f"size {row['p_size']}")
+        return {"tag": f"{row['p_brand'].upper()}/{row['p_size']}", "tripled": row["p_size"] * context["factor"]}
+
+    return J.map_rows(table(spark, sf, "part").select("p_partkey", "p_brand", "p_size"), tagged, "tag string, tripled long", {"factor": 3}).drop("p_brand", "p_size")
+
+
+@query(
+    "q170_decision_function",
+    """SELECT conv_id, turn, CASE WHEN role = lag(role) OVER w THEN 'repeated' WHEN turn >= 3 THEN 'capped' ELSE 'open' END AS decision FROM (SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS c FROM conversations) WHERE c = 1 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+)
+def q170(spark, sf):
+    """A decision of the user's over each turn and those before it, of turns that are one row each."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    single = rows.join(rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("c")).filter("c = 1").drop("c"), ["conv_id", "turn"], "left_semi")
+
+    def decide(record, attempt, history, most):
+        if history and record["role"] is not None and history[-1]["role"] == record["role"]:
+            return "repeated"
+        return "capped" if attempt >= most else "open"
+
+    return J.decide_rows(single, "conv_id", "turn", decide).select("conv_id", "turn", "decision")
