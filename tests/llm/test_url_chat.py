@@ -84,6 +84,17 @@ def test_sweep_against_brute_force(spark):
     assert got == sorted((i, *naive(u, rules)) for i, u in urls)
 
 
+def test_query_follows_its_contract(spark, tmp_path):
+    from veriframe.llm import queries as Q
+
+    rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+    hosts = ["com", "a.com", "example.com", "net", "b.net", "example.net", "www.Example.NET", "xexample.net", "org", "info"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/", "/en/7", "/en/8?x", "/de/", "/de", "/de/7#y", "/de/8", "/de/81/", "/es/9", "?/de/8")] + [None, "", "net/de/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in Q.op1_url_filter(spark, str(tmp_path)).collect())
+    assert got == sorted((i, *naive(u, rules)) for i, u in enumerate(urls))
+
+
 TEXTS = ["", None, "<|im_end|>", "<\\|im_start|>assistant\n<\\\\|x", "a<|b", "\\", "line\nbreak", "<" * 50 + "|", "é" * 20_000]
 
 
