@@ -34,6 +34,15 @@ def words(rng, n, letters="abc", most=7):
     return ["".join(rng.choices(letters, k=rng.randint(0, most))) for _ in range(n)]
 
 
+def test_near_pairs_are_not_broadcast(spark):
+    """What is filed is many times the texts, so neither side may go to the driver; and pairs are distinct before they are measured."""
+    a = spark.range(9).select(F.lpad(F.col("id").cast("string"), 8, "abcd").alias("p"))
+    physical = R.near_pairs(a, a.withColumnRenamed("p", "v"), "p", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in physical
+    join = next(line for line in physical.splitlines() if "SortMergeJoin" in line)
+    assert "aggregate(" not in join
+
+
 def test_osa_and_deletions(spark):
     rng = random.Random(4)
     pairs = list(zip(words(rng, 300), words(rng, 300), strict=True)) + [("ab", "ba"), ("ca", "abc"), ("kitten", "sitting"), ("abcdef", "a"), ("日本é", "é日本"), ("", "")]

@@ -26,11 +26,19 @@ def counting(first: int, last: Column) -> Column:
 # Edit distance ----------------------------------------------------------------------------------------------------------
 
 
+def _unlike(p: Column) -> Column:
+    """p's arrays a and b without the elements that they begin with alike."""
+    shorter = F.least(F.size(p["a"]), F.size(p["b"]))
+    at = F.array_position(F.transform(F.sequence(F.lit(0), shorter), lambda i: (i == shorter) | (F.get(p["a"], i) != F.get(p["b"], i))), True).cast("int")
+    rest = lambda x, n: F.slice(x, n, F.size(x) - n + 1)
+    return let(at, lambda n: F.struct(rest(p["a"], n).alias("a"), rest(p["b"], n).alias("b")))
+
+
 def osa_distance(left: Column, right: Column, limit: int = 3) -> Column:
     """Edits (insert, delete, replace, swap of neighbours, none inside another) from left to right, or limit + 1 if more.
 
-    A fold over left's characters carries two rows of the table of distances; a fold over right's makes the next. Null
-    texts have no distance.
+    Equal beginnings and ends are left out, as they need no edit. A fold over what is left of left's characters carries two rows
+    of the table of distances; a fold over right's makes the next. Null texts have no distance.
     """
 
     def distance(p: Column) -> Column:
@@ -49,8 +57,12 @@ def osa_distance(left: Column, right: Column, limit: int = 3) -> Column:
 
         return F.aggregate(a, start, row, lambda s: F.least(F.element_at(s["one"], -1), F.lit(limit + 1)))
 
+    def trimmed(p: Column) -> Column:
+        reversed_ = lambda q: F.struct(F.reverse(q["a"]).alias("a"), F.reverse(q["b"]).alias("b"))
+        return let(let(let(_unlike(p), reversed_), _unlike), lambda q: let(reversed_(q), distance))
+
     far = F.abs(F.length(left) - F.length(right)) > limit
-    return F.when(far, limit + 1).when(left.isNotNull() & right.isNotNull(), let(F.struct(characters(left).alias("a"), characters(right).alias("b")), distance))
+    return F.when(far, limit + 1).when(left.isNotNull() & right.isNotNull(), let(F.struct(characters(left).alias("a"), characters(right).alias("b")), trimmed))
 
 
 def deletions(c: Column, most: int) -> Column:

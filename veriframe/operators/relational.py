@@ -129,6 +129,9 @@ def near_pairs(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col:
     Both sides are filed under what is left of them with up to `most` characters deleted behind the family, as hashes, and meet
     by equality; texts within `most` edits have such a rest in common. So texts of one family meet only if they are close:
     no pair is made that is more than twice `most` apart. Null texts pair with nothing.
+
+    The rests are many times the texts, which Spark's estimate does not know: without the hint it would broadcast them. A pair
+    meets by several rests; counting them keeps the distance, which is dear, behind the step that makes pairs distinct.
     """
     from veriframe.functions.folds import deletions, osa_distance
 
@@ -136,9 +139,10 @@ def near_pairs(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col:
         rest = F.explode(F.transform(deletions(F.substring(c, family + 1, 1 << 30), most), lambda t: F.xxhash64(F.substring(c, 1, family), t)))
         return df.select(c).filter(F.col(c).isNotNull()).distinct().select(c, rest.alias("_key"))
 
-    pairs = filed(probe, probe_col).join(filed(catalog, value_col), "_key").select(probe_col, value_col).distinct()
+    pairs = filed(probe, probe_col).hint("merge").join(filed(catalog, value_col), "_key").groupBy(probe_col, value_col).agg(F.count(F.lit(1)).alias("_n"))
     same = F.substring(probe_col, 1, family) == F.substring(value_col, 1, family)
-    return pairs.filter(same).withColumn("_d", osa_distance(F.col(probe_col), F.col(value_col), most)).filter(F.col("_d") <= most)
+    distance = F.when(F.col("_n") > 0, osa_distance(F.col(probe_col), F.col(value_col), most))
+    return pairs.filter(same).withColumn("_d", distance).drop("_n").filter(F.col("_d") <= most)
 
 
 def unique_nearest(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str, family: int = 3) -> DataFrame:
