@@ -92,13 +92,14 @@ def best_overlap(left: DataFrame, right: DataFrame, item: str, left_key: str, ri
 def unique_completion(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str, most: int = 3, family: int = 3) -> DataFrame:
     """probe with `completion`: the one catalog value that starts with it and is 1 to `most` characters longer, else null.
 
-    Both sides meet by equality: every catalog value is filed under each of its prefixes that is so much shorter.
+    Both sides meet by equality: every catalog value is filed under each of its prefixes that is so much shorter. Spark's
+    estimate does not know how many these are, so they are kept from being broadcast.
     """
     cuts = F.explode(F.sequence(F.lit(1), F.lit(most)))
     filed = catalog.select(value_col).distinct().select(value_col, cuts.alias("cut")).filter(F.length(value_col) - F.col("cut") >= family)
     filed = filed.select(F.expr(f"left({value_col}, length({value_col}) - cut)").alias(probe_col), value_col)
     one = filed.groupBy(probe_col).agg(F.count(F.lit(1)).alias("_n"), F.min(value_col).alias("completion")).filter("_n = 1").drop("_n")
-    return probe.join(one, probe_col, "left")
+    return probe.join(one.hint("merge"), probe_col, "left")
 
 
 def unique_embedded(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str, least: int = 8) -> DataFrame:
@@ -109,18 +110,18 @@ def unique_embedded(probe: DataFrame, catalog: DataFrame, probe_col: str, value_
     values = catalog.select(value_col).distinct().filter(F.length(value_col) >= least).withColumn("_g", F.substring(value_col, 1, least))
     probes = probe.select(probe_col).distinct()
     grams = probes.filter(F.length(probe_col) > least).select(probe_col, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(probe_col) - least + 1), lambda i: F.substring(F.col(probe_col), i, F.lit(least))))).alias("_g"))
-    hits = grams.join(values, "_g").filter(F.col(probe_col).contains(F.col(value_col)) & (F.col(probe_col) != F.col(value_col)))
+    hits = grams.hint("merge").join(values, "_g").filter(F.col(probe_col).contains(F.col(value_col)) & (F.col(probe_col) != F.col(value_col)))
     one = hits.groupBy(probe_col).agg(F.count_distinct(value_col).alias("_n"), F.min(value_col).alias("embedded")).filter("_n = 1").drop("_n")
-    return probe.join(one, probe_col, "left")
+    return probe.join(one.hint("merge"), probe_col, "left")
 
 
 def unique_first_letter(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str) -> DataFrame:
     """probe with `alternative`: the one catalog value of the same length that differs in the first character alone."""
     values = catalog.select(value_col).distinct().withColumn("_t", F.expr(f"substring({value_col}, 2)"))
     probes = probe.select(probe_col).distinct().withColumn("_t", F.expr(f"substring({probe_col}, 2)"))
-    hits = probes.join(values, "_t").filter((F.length(probe_col) == F.length(value_col)) & (F.col(probe_col) != F.col(value_col)))
+    hits = probes.hint("merge").join(values, "_t").filter((F.length(probe_col) == F.length(value_col)) & (F.col(probe_col) != F.col(value_col)))
     one = hits.groupBy(probe_col).agg(F.count(F.lit(1)).alias("_n"), F.min(value_col).alias("alternative")).filter("_n = 1").drop("_n")
-    return probe.join(one, probe_col, "left")
+    return probe.join(one.hint("merge"), probe_col, "left")
 
 
 def near_pairs(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str, most: int = 2, family: int = 3) -> DataFrame:
@@ -154,12 +155,12 @@ def unique_nearest(probe: DataFrame, catalog: DataFrame, probe_col: str, value_c
     best = near_pairs(probe, catalog, probe_col, value_col, 2, family).groupBy(probe_col).agg(F.min(nearest(value_col)).alias("_b"), F.min("_d").alias("_m"), F.max_by(value_col, F.struct(-F.col("_d"), value_col)).alias("_z"))
     allowed = F.when(F.length(probe_col) >= 9, 2).when(F.length(probe_col) >= 8, 1).otherwise(0)
     unique = F.col("_z") == F.col(f"_b.{value_col}")  # of several that are closest, the first and the last differ
-    return probe.join(best.filter((F.col("_m") <= allowed) & unique).select(probe_col, F.col(f"_b.{value_col}").alias("nearest"), F.col("_m").alias("distance")), probe_col, "left")
+    return probe.join(best.filter((F.col("_m") <= allowed) & unique).select(probe_col, F.col(f"_b.{value_col}").alias("nearest"), F.col("_m").alias("distance")).hint("merge"), probe_col, "left")
 
 
 def staged_match(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str) -> DataFrame:
     """probe with `matched` and `stage`: the value itself (exact), else its one completion, else its one nearest, else null."""
-    exact = catalog.select(F.col(value_col).alias(probe_col), F.lit(True).alias("_exact")).distinct()
+    exact = catalog.select(F.col(value_col).alias(probe_col), F.lit(True).alias("_exact")).distinct().hint("merge")
     out = unique_nearest(unique_completion(probe.join(exact, probe_col, "left"), catalog, probe_col, value_col), catalog, probe_col, value_col)
     stage = F.when(F.col("_exact"), "exact").when(F.col("completion").isNotNull(), "completion").when(F.col("nearest").isNotNull(), "nearest")
     matched = F.when(F.col("_exact"), F.col(probe_col)).otherwise(F.coalesce("completion", "nearest"))
