@@ -61,3 +61,14 @@ def test_suggestions_and_shards(spark, tmp_path):
 def test_overlap_ties_go_to_the_smaller_key(spark):
     items = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x")], "k int, i string")
     assert rows(best_overlap(items, items.withColumnRenamed("k", "o"), "i", "k", "o"), "k", "o") == [(1, 2), (2, 1), (3, 1)]
+
+
+def test_overlap_counts_where_a_left_key_is(spark):
+    """An item with more keys than a list holds; the pairs themselves are not shuffled, only the lists of right keys."""
+    items = spark.range(1203).selectExpr("id k", "'x' i").union(spark.createDataFrame([(5, "y"), (1200, "y"), (5, "y")], "k long, i string"))
+    best = best_overlap(items, items.withColumnRenamed("k", "o"), "i", "k", "o")
+    got = rows(best, "k", "o", "shared")
+    assert len(got) == 1203 and (5, 1200, 2) in got and (1200, 5, 2) in got and (0, 1, 1) in got and (7, 0, 1) in got
+    plan = best._jdf.queryExecution().executedPlan().toString().splitlines()
+    explode = next(i for i, line in enumerate(plan) if "Generate" in line)
+    assert not any("Exchange" in line for line in plan[:explode])

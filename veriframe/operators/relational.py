@@ -79,14 +79,19 @@ def guarded_overlay(durable: DataFrame, memory: DataFrame, key: str, value: str,
 def best_overlap(left: DataFrame, right: DataFrame, item: str, left_key: str, right_key: str, max_shared: int | None = None) -> DataFrame:
     """For each left key the right key that shares most distinct items; ties go to the smaller right key.
 
-    Pairs are those that share an item; max_shared leaves out items that more right keys have, if given.
+    Pairs are those that share an item; max_shared leaves out items that more right keys have, if given. An item's right keys
+    go to its left keys as lists of up to 1,000, and pairs are made and counted only where all lists of a left key are: what is
+    shuffled is a number for each pair, with no key or count beside it.
     """
     a, b = left.select(left_key, item).distinct(), right.select(right_key, item).distinct()
     if max_shared is not None:
         b = b.join(b.groupBy(item).count().filter(F.col("count") <= max_shared).select(item), item, "left_semi")
-    pairs = a.join(b, item).filter(F.col(left_key) != F.col(right_key)).groupBy(left_key, right_key).agg(F.count(F.lit(1)).alias("shared"))
+    part = F.floor((F.row_number().over(Window.partitionBy(item).orderBy(right_key)) - 1) / 1000)
+    lists = b.withColumn("_part", part).groupBy(item, "_part").agg(F.collect_list(right_key).alias("_keys"))
+    pairs = a.join(lists.hint("merge"), item).select(left_key, "_keys").repartition(left_key).select(left_key, F.explode("_keys").alias(right_key))
+    counts = pairs.filter(F.col(left_key) != F.col(right_key)).groupBy(left_key, right_key).agg(F.count(F.lit(1)).alias("shared"))
     best = F.min_by(F.struct(right_key, "shared"), F.struct(-F.col("shared"), F.col(right_key)))
-    return pairs.groupBy(left_key).agg(best.alias("b")).select(left_key, f"b.{right_key}", "b.shared")
+    return counts.groupBy(left_key).agg(best.alias("b")).select(left_key, f"b.{right_key}", "b.shared")
 
 
 def unique_completion(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str, most: int = 3, family: int = 3) -> DataFrame:
