@@ -61,3 +61,32 @@ def test_outbox_knows_its_history_without_reading_it(spark, tmp_path):
         stream = arrivals(spark, path, rows)
         jobs.outbox(stream, F.lit(True), "job", lambda b, n: published.append(sorted((r["job"], r["error"]) for r in b.collect())), str(tmp_path / "out"), str(tmp_path / "s"), volatile=("s", "at")).awaitTermination()
     assert published == [[(1, "a"), (2, "b")], [(2, "c")]]
+
+
+def test_sources_of_one_key_are_spread(spark, tmp_path):
+    stream = arrivals(spark, str(tmp_path / "in"), [(1, i, f"s{i}") for i in range(40)])
+    ck = str(tmp_path / "state")
+    state.run_to_end(state.lasting_sources(stream, "job", "error"), str(tmp_path / "out"), ck, idle=False)
+    held = spark.read.format("statestore").option("stateVarName", "sources").load(ck)
+    assert held.select("key").distinct().count() > 1 and state.held(spark, ck).count() == 40
+
+
+def test_counter_reads_its_key_alone(spark, tmp_path):
+    stream = arrivals(spark, str(tmp_path / "in"), [(1, 0, "a")])
+    counted = state.lifetime_counter(stream, "job", state.floor_of("job", spark.createDataFrame([], "job int, n long")))
+    analyzed = counted._jdf.queryExecution().analyzed().toString()
+    project = next(line for line in analyzed.splitlines() if "Project [job" in line)
+    assert "error" not in project
+
+
+def test_batches_are_files_in_equal_number(spark, tmp_path):
+    from veriframe.plans.replays import event_stream
+
+    events = spark.range(3000).selectExpr("id event_id", "timestamp_seconds(id) ts", "id % 7 user_id", "'click' event_type", "1.0D value", "'{}' props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    stream = event_stream(spark, str(tmp_path), "true", str(tmp_path / "in"), parts=3, least=400)
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda b, n: seen.append(b.agg(F.count("*"), F.min("event_id"), F.max("event_id")).first())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [tuple(r) for r in seen] == [(1000, 0, 999), (1000, 1000, 1999), (1000, 2000, 2999)]
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 6

@@ -16,15 +16,22 @@ from veriframe.sources import readers
 from veriframe.streaming import jobs, state
 
 
-def event_stream(spark: SparkSession, sf: str, where: str, path: str, parts: int = 3) -> DataFrame:
-    """The events as a stream that arrives by time, in `parts` files one after the other, and of these the rows wanted."""
+def event_stream(spark: SparkSession, sf: str, where: str, path: str, parts: int = 3, least: int = 250_000) -> DataFrame:
+    """The events as a stream that arrives by time, in `parts` batches one after the other, and of these the rows wanted.
+
+    Every batch has equally many files, each of `least` rows or so at least, or one file if there are fewer: rows are dealt in turn,
+    so that none is empty.
+    """
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     first, last = events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
     span = (last - first) // parts + 1
-    for i in range(parts):
-        events.filter(F.expr(f"unix_micros(ts) >= {first + i * span} AND unix_micros(ts) < {first + (i + 1) * span}")).coalesce(1).write.mode("append").parquet(path)
+    within = [F.expr(f"unix_micros(ts) >= {first + i * span} AND unix_micros(ts) < {first + (i + 1) * span}") for i in range(parts)]
+    smallest = min(events.agg(*[F.count_if(w) for w in within]).first())
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), smallest // least))
+    for w in within:
+        events.filter(w).repartition(files).write.mode("append").parquet(path)
     kind = ", ".join(f"{n} {t}" for n, t in events.dtypes)
-    return jobs.file_stream(spark, path, kind, files=1).filter(where)
+    return jobs.file_stream(spark, path, kind, files=files).filter(where)
 
 
 @query(
