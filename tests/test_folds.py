@@ -153,3 +153,19 @@ def test_loops(spark):
     assert all(looping(t) == want for t, want in cases.items())
     assert column(spark, list(cases), lambda c: D.loops(D.watched_prose(c))) == list(cases.values())
     assert column(spark, [None], lambda c: D.loops(D.watched_prose(c))) == [False]
+
+
+def test_loops_of_long_texts(spark):
+    """Long texts without a run of 30 that comes twice are not searched window by window: in time by their length."""
+    import time
+
+    rng = random.Random(3)
+    line = lambda: "".join(rng.choices("abcdefghij ", k=60))
+    plain = "\n".join(line() for _ in range(6000))
+    short = plain[:9000]
+    window = short[50 * 40 : 50 * 40 + 30]
+    cases = {short: False, short + "-" + window + "+" + line() + window: True, short + "-" + window: False}
+    started = time.time()
+    assert column(spark, [plain], D.loops) == [False]
+    assert time.time() - started < 15
+    assert column(spark, list(cases), D.loops) == list(cases.values())

@@ -191,18 +191,21 @@ def loops(c: Column) -> Column:
     A token of 4 characters or more comes twelve times among the last 120; or the last 1,600 characters, white space left
     out, end with one chunk six times; or one of the last 15 lines of over 15 characters comes twice; or, in a text of over
     200 characters with two such lines, one of the windows of 30 characters at every 50th stands three times anywhere in
-    the text without overlap. Windows are searched for one by one, so a text costs its square; answers are short.
+    the text without overlap. Windows are searched for one by one, so a text costs its square; of over 4,000 characters only
+    one that has some 30 characters twice, which one pass over all its runs of 30 tells.
     """
 
     def judge(w: Column) -> Column:
         recent = F.filter(F.slice(F.reverse(F.regexp_extract_all(w, F.lit(LOOP_TOKEN), F.lit(0))), 1, 120), lambda t: F.length(t) >= 4)
-        often = let(recent, lambda r: F.exists(F.array_distinct(r), lambda t: F.size(F.filter(r, lambda x: x == t)) >= 12))
+        often = let(F.sort_array(recent), lambda r: F.exists(counting(12, F.size(r)), lambda i: F.get(r, i - 1) == F.get(r, i - 12)))
         compact = F.regexp_replace(w, r"\s+", "")
         ends = let(F.right(compact, F.lit(1600)), lambda t: F.exists(F.array(*map(F.lit, LOOP_CHUNKS)), lambda n: (F.length(t) >= 8 * n) & t.endswith(F.repeat(F.right(t, n), F.lit(6)))))
         long = F.filter(F.transform(F.split(w, "\n"), lambda x: F.trim(x, F.lit(_BLANK))), lambda x: F.length(x) > 15)
         twice = let(F.slice(F.reverse(long), 1, 15), lambda x: F.size(F.array_distinct(x)) < F.size(x))
         starts = F.when(F.length(w) > 200, F.sequence(F.lit(0), F.length(w) - 31, F.lit(50)))
         thrice = F.exists(starts, lambda i: let(F.substring(w, i + 1, F.lit(30)), lambda s: F.length(w) - F.length(F.replace(w, s, F.lit(""))) >= 90))
-        return often | ends | twice | ((F.size(long) >= 2) & F.coalesce(thrice, F.lit(False)))
+        runs = F.regexp_extract_all(w, F.lit("(?s)(?=(.{30}))"), F.lit(1))
+        again = (F.length(w) <= 4000) | let(runs, lambda r: F.size(F.array_distinct(r)) < F.size(r))
+        return often | ends | twice | ((F.size(long) >= 2) & again & F.coalesce(thrice, F.lit(False)))
 
     return let(F.coalesce(c, F.lit("")), judge)
