@@ -169,3 +169,9 @@ def test_loops_of_long_texts(spark):
     assert column(spark, [plain], D.loops) == [False]
     assert time.time() - started < 15
     assert column(spark, list(cases), D.loops) == list(cases.values())
+
+
+def test_staged_match_broadcasts_nothing(spark):
+    a = spark.range(9).select(F.lpad(F.col("id").cast("string"), 12, "abcd").alias("p"))
+    plan = R.staged_match(a, a.withColumnRenamed("p", "v"), "p", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
