@@ -18,6 +18,12 @@ def test_query_without_sql_runs(spark, name):
     assert registry.queries()[name](spark, DATA).count() >= 0
 
 
+@pytest.mark.parametrize("name", ["q143_rule_cascade", "q144_three_pass_final"])
+def test_passes_are_sorted_once(spark, name):
+    plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == plan.count("Exchange ") == 1 and "Aggregate" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -107,6 +107,18 @@ def test_final_rows_roll_back(spark):
     assert out == {"z": "", "y": A.ERASED}
 
 
+def test_last_three_of_very_many(spark):
+    """A key with very many passes, dealt in any order, goes by its last three; nothing gathers them but windows."""
+    many = spark.range(9000).select(F.lit("k").alias("k"), (F.col("id") * 7 % 9000).alias("n"), (-(F.col("id") * 7 % 9000)).alias("back"), F.lit(None).cast("array<string>").alias("flags"))
+    passes = many.unionByName(many.filter("n < 2").withColumn("k", F.lit("two"))).repartition(3)
+    for order in ((), ("n",)):
+        decided = A.decide_view(passes, "k", "n", {"single": F.col("n") >= 8998}, "flags", ["back"], order=order)
+        assert "Aggregate" not in decided._jdf.queryExecution().executedPlan().toString()
+        got = {r["k"]: r for r in decided.collect()}
+        assert {k: [(p["attempt"], p["back"]) for p in r["passes"]] for k, r in got.items()} == {"k": [(n, -n) for n in (8997, 8998, 8999)], "two": [(0, 0), (1, -1)]}
+        assert {k: (r["rule"], [p["attempt"] for p in r["support"]]) for k, r in got.items()} == {"k": ("two_pass_single_view_consensus", [8998, 8999]), "two": (None, [])}
+
+
 def test_injected_functions(spark):
     from veriframe.operators import injected as J
 

@@ -1,11 +1,13 @@
 """Three passes over one thing, settled in one plan: who may vote, which rule of an ordered list decides, and a row-level transaction.
 
 A key's passes become one array of structs, so votes, rules, supporting passes, invariants and rollback are expressions over
-one row: a single shuffle by key. Only the last three passes of a key are taken, so the arrays are bounded.
+one row: a single shuffle by key. Only the last three passes of a key are taken, so the arrays are bounded; a window that slides
+over the sorted passes gathers them, so that a task holds little more than its one sort does.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -96,19 +98,24 @@ def buckets(view: Column, screens: Column, unique_main: Column, owner: Column, w
     }
 
 
-def decide_view(passes: DataFrame, key: str, attempt: str, bucket_of: dict[str, Column], flags: str, keep: list[str], rules: list[Rule] = RULES) -> DataFrame:
+def decide_view(passes: DataFrame, key: str, attempt: str, bucket_of: dict[str, Column], flags: str, keep: list[str], rules: list[Rule] = RULES, order: Sequence[str] = ()) -> DataFrame:
     """key, passes, rule, view, support: the first rule that holds for the last three passes of a key, and those that support it.
 
     bucket_of: for each bucket the condition over a pass; buckets that rules name and it lacks are empty, `usable` is all.
     flags: an array of names of rules that a key's other evidence has proved, the same in all its passes. Columns in keep stay
-    in the passes' structs. Without a rule that holds, rule is null and support empty.
+    in the passes' structs. Without a rule that holds, rule is null and support empty. order: columns that order a key's passes
+    as attempt does; where a window has already sorted each key by them, descending, nothing is sorted again.
     """
     names = sorted({b for r in rules for b in r.support} | set(bucket_of) | {"family_geometry", "counterevidence"})
     full = {b: F.coalesce(bucket_of[b], F.lit(False)) if b in bucket_of else F.lit(b == "usable") for b in names}
     among = lambda *of: lambda p: reduce(lambda a, b: a | b, [p["in"][b] for b in of])
-    last = R.last_n(passes, [key], [attempt], 3)
     fields = [F.col(attempt).alias("attempt"), *[F.col(c) for c in keep if c != "attempt"], F.struct(*[c.alias(b) for b, c in full.items()]).alias("in")]
-    held = last.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("passes"), F.max(flags).alias("_flags"))
+    order = list(order) or [attempt]
+    down = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    three = down.rowsBetween(0, 2)
+    last = R.last_n(passes, [key], order, 3)
+    run = last.select(key, F.collect_list(F.struct(*fields)).over(three).alias("passes"), F.max(flags).over(three).alias("_flags"), F.row_number().over(down).alias("_r"))
+    held = run.filter(F.col("_r") == 1).select(key, F.array_sort("passes").alias("passes"), "_flags")
     held = held.select("*", *[F.size(F.filter("passes", among(b))).alias(f"n_{b}") for b in names])
     holds = [F.array_contains("_flags", r.name) if r.when is None else F.expr(r.when) for r in rules]
     number = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), i) for i, c in enumerate(holds)])
@@ -119,7 +126,7 @@ def decide_view(passes: DataFrame, key: str, attempt: str, bucket_of: dict[str,
     return decided.select(key, "passes", F.get(table, F.col("_rule"))["rule"].alias("rule"), F.get(table, F.col("_rule"))["view"].alias("view"), F.coalesce(*supports, none).alias("support"))
 
 
-def finalise(passes: DataFrame, key: str, attempt: str, bucket_of: dict[str, Column], flags: str, healthy: Column, digest: str) -> DataFrame:
+def finalise(passes: DataFrame, key: str, attempt: str, bucket_of: dict[str, Column], flags: str, healthy: Column, digest: str, order: Sequence[str] = ()) -> DataFrame:
     """key, verified, reason, rule, view, model, price, screens, cues, support: three passes of a key settled, or the reason why not.
 
     passes has view, model, price, screens, owner, safe (whether a pass's fields may be published) and cues (an array of structs
@@ -127,11 +134,12 @@ def finalise(passes: DataFrame, key: str, attempt: str, bucket_of: dict[str, Col
     model and price that owned passes repeat must not be unsafe. A single thing takes the pair on which two safe, owned
     supporting passes agree, if it is the only one; a distant one has none, and as many screens as the fewest seen, three
     at least, or none by rules of that kind. Cues are those of the supporting passes, the first of each. All this is a trial
-    row: if owned passes repeat one pair and no other, the trial must have it, else the key keeps nothing of it.
+    row: if owned passes repeat one pair and no other, the trial must have it, else the key keeps nothing of it. order: as in
+    `decide_view`.
     """
     marked = passes.withColumn("_healthy", F.coalesce(healthy, F.lit(False)))
     keep = ["view", "model", "price", "screens", "owner", "safe", "cues", "_healthy", digest]
-    decided = decide_view(marked, key, attempt, bucket_of, flags, keep)
+    decided = decide_view(marked, key, attempt, bucket_of, flags, keep, order=order)
     well = F.size(F.filter("passes", lambda p: p["_healthy"])) == 3
     images = F.array_distinct(F.transform("passes", lambda p: F.coalesce(F.lower(p[digest]), F.lit(""))))
     one_image = (F.size(images) == 1) & ~F.array_contains(images, "")

@@ -101,14 +101,19 @@ s AS (
   FROM c JOIN r USING (k))"""
 
 
+_LINES = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]  # the order of an order's lines
+
+
 def _passes(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
     """Order lines as passes: an order is a key, its lines are attempts; every seventh order has a rule's flag."""
     number = F.floor(F.col("l_orderkey") / 7) % len(A.RULES)
     flag = F.when(F.col("l_orderkey") % 7 == 0, F.array(F.get(F.array(*[F.lit(r.name) for r in A.RULES]), number.cast("int"))))
     ship = F.col("l_suppkey") % 7
-    attempt = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    down = Window.partitionBy("l_orderkey").orderBy(*[F.desc(c) for c in _LINES])  # as the last three are found: sorted once
+    whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    attempt = (F.count(F.lit(1)).over(whole) + 1 - F.row_number().over(down)).cast("int")
     df = table(spark, sf, "lineitem").withColumn("attempt", attempt).select(
-        F.col("l_orderkey").alias("k"), "attempt", F.when(F.col("l_returnflag") == "N", A.SINGLE).otherwise(A.DISTANT).alias("view"), (F.col("l_quantity").cast("long") % 5).cast("int").alias("screens"),
+        F.col("l_orderkey").alias("k"), "attempt", *_LINES, F.when(F.col("l_returnflag") == "N", A.SINGLE).otherwise(A.DISTANT).alias("view"), (F.col("l_quantity").cast("long") % 5).cast("int").alias("screens"),
         (F.col("l_partkey") % 3 == 0).alias("main"), F.when(F.col("l_linestatus") == "O", "matched").otherwise("other").alias("owner"), (ship == 0).alias("weak"), ship.isin(1, 2).alias("edge"), (ship == 3).alias("family"),
         (F.col("l_discount") > 0.02).alias("geometry"), (F.col("l_tax") > 0.07).alias("counter"), flag.alias("flags"), F.when(F.col("l_partkey") % 4 > 0, F.concat(F.lit("M"), (F.col("l_partkey") % 2).cast("string"))).alias("model"),
         F.when(F.col("l_suppkey") % 5 > 0, (F.col("l_suppkey") % 2).cast("int")).alias("price"), (F.col("l_discount") < 0.1).alias("safe"), (F.col("l_tax") < 0.08).alias("healthy"), F.when(F.col("l_extendedprice") > 99000, "B").otherwise("A").alias("image"),
@@ -124,7 +129,7 @@ def _passes(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
 def q143(spark, sf):
     """The first of 28 ordered rules that holds for each order's last three lines, and the lines that support it."""
     df, own = _passes(spark, sf)
-    decided = A.decide_view(df, "k", "attempt", own, "flags", [])
+    decided = A.decide_view(df, "k", "attempt", own, "flags", [], order=_LINES)
     return decided.select("k", "rule", "view", F.transform("support", lambda p: p["attempt"]).alias("support"))
 
 
@@ -148,7 +153,7 @@ def q143(spark, sf):
 def q144(spark, sf):
     """Orders settled by their last three lines, or the reason why not."""
     df, own = _passes(spark, sf)
-    final = A.finalise(df, "k", "attempt", own, "flags", A.usable(F.col("healthy"), F.array().cast("array<string>"), F.col("view"), local_distant=True), "image")
+    final = A.finalise(df, "k", "attempt", own, "flags", A.usable(F.col("healthy"), F.array().cast("array<string>"), F.col("view"), local_distant=True), "image", _LINES)
     return final.withColumn("cues", F.array_join(F.array_sort(F.transform("cues", lambda c: c["cue"])), ","))
 
 
