@@ -175,3 +175,14 @@ def test_staged_match_broadcasts_nothing(spark):
     a = spark.range(9).select(F.lpad(F.col("id").cast("string"), 12, "abcd").alias("p"))
     plan = R.staged_match(a, a.withColumnRenamed("p", "v"), "p", "v")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_staged_match_takes_only_what_is_sure(spark):
+    catalog = spark.createDataFrame([(v,) for v in ["S27HG806EF", "S27HG807EF", "S32FM703UC", "S32FM703UX", "S40AB100UC", None]], "v string")
+    want = {
+        "S27HG806EF": ("S27HG806EF", "exact"), "S40AB100": ("S40AB100UC", "completion"), "S40AB1_0UC": ("S40AB100UC", "nearest"), "S27HG807FE": ("S27HG807EF", "nearest"),
+        "S32FM703": (None, None), "S32FM703U": (None, None), "S27HG80_EF": (None, None), "S99": (None, None), None: (None, None),
+    }
+    probe = spark.createDataFrame([(p,) for p in [*want, "S40AB100", "S40AB1_0UC"]], "p string")
+    got = [(r["p"], (r["matched"], r["stage"])) for r in R.staged_match(probe, catalog, "p", "v").collect()]
+    assert len(got) == len(want) + 2 and dict(got) == want

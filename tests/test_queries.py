@@ -29,3 +29,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_staged_match_of_codes_alike(spark, tmp_path):
+    """Customers whose digests begin with the same ten characters, or differ in the eighth alone, each get their own code."""
+    import duckdb
+
+    keys = "(805733, 10), (1090164, 10), (999594, 20), (9209485, 20), (363976, 3), (441591, 9), (0, 2), (9223372036854775807, 8), (-7, 24)"
+    copy = f"copy (select c_custkey::bigint as c_custkey, c_nationkey::int as c_nationkey from (values {keys}) t(c_custkey, c_nationkey)) to '{tmp_path}/customer.parquet' (format parquet)"
+    duckdb.connect().execute(copy)
+    assert compare(spark, registry.queries(), registry.oracle_sql(), "q124_staged_match", str(tmp_path)) == 9

@@ -151,22 +151,32 @@ def near_pairs(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col:
     return pairs.filter(same).withColumn("_d", distance).drop("_n").filter(F.col("_d") <= most)
 
 
+def _nearest(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str, family: int = 3) -> DataFrame:
+    """The probes that have one closest catalog value (see unique_nearest), each once, with `nearest` and `distance`."""
+    nearest = lambda c: F.struct("_d", c)
+    best = near_pairs(probe, catalog, probe_col, value_col, 2, family).groupBy(probe_col).agg(F.min(nearest(value_col)).alias("_b"), F.min("_d").alias("_m"), F.max_by(value_col, F.struct(-F.col("_d"), value_col)).alias("_z"))
+    allowed = F.when(F.length(probe_col) >= 9, 2).when(F.length(probe_col) >= 8, 1).otherwise(0)
+    unique = F.col("_z") == F.col(f"_b.{value_col}")  # of several that are closest, the first and the last differ
+    return best.filter((F.col("_m") <= allowed) & unique).select(probe_col, F.col(f"_b.{value_col}").alias("nearest"), F.col("_m").alias("distance"))
+
+
 def unique_nearest(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str, family: int = 3) -> DataFrame:
     """probe with `nearest`: the one closest catalog value, at one edit (from 8 characters) or two (from 9), else null.
 
     Only values of the same first characters are compared, and of these only those that are close (see near_pairs).
     """
-    nearest = lambda c: F.struct("_d", c)
-    best = near_pairs(probe, catalog, probe_col, value_col, 2, family).groupBy(probe_col).agg(F.min(nearest(value_col)).alias("_b"), F.min("_d").alias("_m"), F.max_by(value_col, F.struct(-F.col("_d"), value_col)).alias("_z"))
-    allowed = F.when(F.length(probe_col) >= 9, 2).when(F.length(probe_col) >= 8, 1).otherwise(0)
-    unique = F.col("_z") == F.col(f"_b.{value_col}")  # of several that are closest, the first and the last differ
-    return probe.join(best.filter((F.col("_m") <= allowed) & unique).select(probe_col, F.col(f"_b.{value_col}").alias("nearest"), F.col("_m").alias("distance")).hint("merge"), probe_col, "left")
+    return probe.join(_nearest(probe, catalog, probe_col, value_col, family).hint("merge"), probe_col, "left")
 
 
 def staged_match(probe: DataFrame, catalog: DataFrame, probe_col: str, value_col: str) -> DataFrame:
-    """probe with `matched` and `stage`: the value itself (exact), else its one completion, else its one nearest, else null."""
+    """probe with `matched` and `stage`: the value itself (exact), else its one completion, else its one nearest, else null.
+
+    The nearest values are dear to find, so they are sought only for what no earlier stage has matched.
+    """
     exact = catalog.select(F.col(value_col).alias(probe_col), F.lit(True).alias("_exact")).distinct().hint("merge")
-    out = unique_nearest(unique_completion(probe.join(exact, probe_col, "left"), catalog, probe_col, value_col), catalog, probe_col, value_col)
+    found = unique_completion(probe.join(exact, probe_col, "left"), catalog, probe_col, value_col)
+    unmatched = found.filter(F.col("_exact").isNull() & F.col("completion").isNull())
+    out = found.join(_nearest(unmatched, catalog, probe_col, value_col).hint("merge"), probe_col, "left")
     stage = F.when(F.col("_exact"), "exact").when(F.col("completion").isNotNull(), "completion").when(F.col("nearest").isNotNull(), "nearest")
     matched = F.when(F.col("_exact"), F.col(probe_col)).otherwise(F.coalesce("completion", "nearest"))
     return out.withColumns({"stage": stage, "matched": matched}).drop("_exact", "completion", "nearest", "distance")
