@@ -186,3 +186,27 @@ def test_staged_match_takes_only_what_is_sure(spark):
     probe = spark.createDataFrame([(p,) for p in [*want, "S40AB100", "S40AB1_0UC"]], "p string")
     got = [(r["p"], (r["matched"], r["stage"])) for r in R.staged_match(probe, catalog, "p", "v").collect()]
     assert len(got) == len(want) + 2 and dict(got) == want
+
+
+def test_unique_nearest_is_the_one_closest(spark):
+    """At one edit or two, with ties at either, against all pairs; whichever is near enough for the probe's length."""
+    rng = random.Random(5)
+    texts = lambda n: {"xy"[rng.random() < 0.3] + "".join(rng.choices("abcd", k=rng.randint(5, 10))) for _ in range(n)}
+    typed = lambda v: "".join(c for c in v if rng.random() > 0.1) + "e" * (rng.random() < 0.5)
+    values = texts(300)
+    probes = {typed(v) for v in values} | texts(50) | set(list(values)[:20])
+    near = R.unique_nearest(spark.createDataFrame([(p,) for p in [*probes, None]], "p string"), spark.createDataFrame([(v,) for v in [*values, None]], "v string"), "p", "v", 1)
+    want = {None: (None, None)}
+    for p in probes:
+        close = sorted((osa(p, v), v) for v in values if p[:1] == v[:1])
+        sure = bool(close) and close[0][0] <= (2 if len(p) >= 9 else 1 if len(p) >= 8 else 0) and [d for d, _ in close].count(close[0][0]) == 1
+        want[p] = (close[0][1], close[0][0]) if sure else (None, None)
+    assert {r["p"]: (r["nearest"], r["distance"]) for r in near.collect()} == want
+    assert {d for _, d in want.values()} == {None, 0, 1, 2}
+
+
+def test_two_edits_are_sought_only_where_one_finds_nothing(spark):
+    """The values that are filed for two edits are those of families with a probe still open; nothing is broadcast."""
+    a = spark.range(9).select(F.lpad(F.col("id").cast("string"), 12, "abcd").alias("p"))
+    plan = R.unique_nearest(a, a.withColumnRenamed("p", "v"), "p", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan and "Broadcast" not in plan
